@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat_format, mixing, quality_rules
+from rankloom.llm import bpe, chat_format, mixing, quality_rules, token_store
+from rankloom.llm.storage import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,22 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", F.col("size"), "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), folder, tokenizer_path())
+    return token_store.read_digests(spark, folder)
+
+
+def op9_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -43,7 +60,9 @@ def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_token_store": op3_token_store,
     "op7_quality_rules": op7_quality_rules,
+    "op9_encode_decode": op9_encode_decode,
     "op10_format_chat": op10_format_chat,
 }
 
