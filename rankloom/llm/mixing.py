@@ -100,10 +100,10 @@ def repeats(doc_id: Column, size: Column, whole: Column, cut: Column, seed: int
 def mix_plan(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, repeats. ``docs`` has doc_id, source, size.
 
-    The join carries one row per source, which Spark broadcasts by its measured size or
-    else deals out, splitting a hot source.
+    The join carries one row per source. That table is stored first, so that Spark knows
+    its size: it is broadcast while small, and beyond that a hot source is split.
     """
-    cuts = source_cuts(docs, seed=seed, **options).alias("s")
+    cuts = written(source_cuts(docs, seed=seed, **options), "mix-cuts").alias("s")
     d = docs.select("doc_id", "source", "size").alias("d")
     joined = d.join(cuts, F.col("d.source").eqNullSafe(F.col("s.source")))
     return joined.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", repeats(F.col("d.doc_id"), F.col("d.size"), F.col("s.whole"), F.col("s.cut"), seed).alias("repeats"))
