@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat_format, mixing, quality_rules, token_store
+from rankloom.llm import bpe, chat_format, mixing, neardup, quality_rules, token_store
 from rankloom.llm.storage import new_path
 
 
@@ -32,6 +32,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, folder)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op9_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,6 +65,7 @@ def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_token_store": op3_token_store,
+    "op4_near_dedup": op4_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_encode_decode": op9_encode_decode,
     "op10_format_chat": op10_format_chat,
