@@ -14,7 +14,7 @@ Merges never cross a final boundary, so what follows one is encoded on its own.
 transducer keeps the symbols after the last emitted token; once they are more than the
 longest token plus the lookahead, the tokens that end at least the lookahead before the
 end of the buffer are emitted. The buffer never exceeds a constant, however long the
-input is. Results for short pre-tokens are kept in a bounded memo.
+input is. Results for short pre-tokens are kept in a bounded memo, which is a cache of the transducer's own results.
 
 Decoding feeds the bytes of one token after the other to a UTF-8 state machine, which
 gives out characters as soon as they are complete and U+FFFD for what cannot be one.
@@ -58,10 +58,12 @@ def sufficient_lookahead(merges: Iterable[tuple[str, str]], suffix: str) -> int:
 
 
 class MergeTable:
-    """The merge list as pair -> (rank, merged id), with its lookahead."""
+    """The merge list as pair -> rank -> merged id, with its lookahead."""
 
     def __init__(self, v: Vocabulary):
-        self.pairs = {(v.ids[a], v.ids[b]): (rank, v.ids[a + b]) for rank, (a, b) in enumerate(v.merges)}
+        self.ranks = {(v.ids[a], v.ids[b]): rank for rank, (a, b) in enumerate(v.merges)}
+        self.into = [v.ids[a + b] for a, b in v.merges]
+        self.none = len(self.into)
         self.lookahead = sufficient_lookahead(v.merges, v.suffix)
         self.width = {i: len(t) - len(v.suffix) * (bool(v.suffix) and t.endswith(v.suffix)) for t, i in v.ids.items()}
         self.longest = max(self.width.values())
@@ -73,47 +75,41 @@ class MergeTable:
         return self._few(symbols) if len(symbols) <= 32 else self._many(symbols)
 
     def _few(self, symbols: list[int]) -> list[int]:
-        out, pairs = list(symbols), self.pairs
-        while len(out) > 1:
-            best, into, pair = None, 0, None
-            for p in zip(out, out[1:]):
-                found = pairs.get(p)
-                if found and (best is None or found[0] < best):
-                    best, into, pair = found[0], found[1], p
-            if best is None:
+        """Keeps the rank of every neighbouring pair; a merge changes those beside it."""
+        out, rank_of, none = list(symbols), self.ranks.get, self.none
+        ranks = [rank_of(p, none) for p in zip(out, out[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            a, b = pair
-            i = 0
-            joined = []
-            while i < len(out):
-                if i + 1 < len(out) and out[i] == a and out[i + 1] == b:
-                    joined.append(into)
-                    i += 2
-                else:
-                    joined.append(out[i])
-                    i += 1
-            out = joined
+            i = ranks.index(best)
+            out[i : i + 2] = [self.into[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((out[i - 1], out[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank_of((out[i], out[i + 1]), none)
         return out
 
     def _many(self, symbols: list[int]) -> list[int]:
         """The same with a heap of (rank, place) over a linked list."""
         n = len(symbols)
         token, after, before = list(symbols), [*range(1, n), -1], [-1, *range(n - 1)]
-        heap: list[tuple[int, int, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j >= 0 and (found := self.pairs.get((token[i], token[j]))):
-                heapq.heappush(heap, (found[0], i, token[i], token[j], found[1]))
+            if j >= 0 and (rank := self.ranks.get((token[i], token[j]))) is not None:
+                heapq.heappush(heap, (rank, i, token[i], token[j]))
 
         for i in range(n):
             offer(i)
         while heap:
-            _, i, a, b, into = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if token[i] != a or j < 0 or token[j] != b:
                 continue
-            token[i], token[j] = into, -1
+            token[i], token[j] = self.into[rank], -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
@@ -170,6 +166,8 @@ class ByteTextDecoder:
         self.wanted, self.point, self.low, self.high = 0, 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
+        if not self.wanted and data.isascii():
+            return data.decode("ascii")
         out = []
         for b in data:
             if self.wanted:
@@ -229,19 +227,34 @@ class Decoder:
 
 
 class _Ids(dict):
-    """Pre-token -> its ids as text; filled by the transducer, emptied when full. ``shown`` has the decoded strings."""
+    """Pre-token -> its ids as text, filled by the transducer; ``shown`` has the decoded strings.
+
+    Two generations of at most MEMO_WORDS each: when the young one is full it becomes the
+    old one, and what is asked for again is taken over from there.
+    """
 
     def __init__(self, codec: Codec):
-        self.codec, self.shown = codec, {}
+        self.codec, self.shown, self.old, self.old_shown = codec, {}, {}, {}
 
     def __missing__(self, word: str) -> str:
-        ids = self.codec.encode_word(word)
-        text = " ".join(map(str, ids))
-        if len(word) <= MEMO_SYMBOLS and len(self) < MEMO_WORDS:
-            self[word] = text
-            self.shown[word] = "".join(self.codec.decoder.strings(ids))
+        text = self.old.get(word)
+        if text is None:
+            ids = self.codec.encode_word(word)
+            text = " ".join(map(str, ids))
+            if len(word) > MEMO_SYMBOLS:
+                return text
+            shown = "".join(self.codec.decoder.strings(ids))
+        else:
+            shown = self.old_shown[word]
+        self[word], self.shown[word] = text, shown
         return text
 
+    def turn(self) -> None:
+        """Called between texts."""
+        if len(self) >= MEMO_WORDS:
+            self.old, self.old_shown, self.shown = dict(self), self.shown, {}
+            self.clear()
+
 
 class Codec:
     """Encoder and decoder of one vocabulary file."""
@@ -253,11 +266,15 @@ class Codec:
         self.memo = _Ids(self)
 
     def encode_word(self, word: str) -> list[int]:
+        data = word.encode("utf-8", "replace")
+        if len(data) <= MEMO_SYMBOLS:  # shorter than the buffer: the transducer would hold all of it
+            return self.table.merged([*map(self.table.inner.__getitem__, data[:-1]), self.table.last[data[-1]]])
         t = Transducer(self.table)
-        return t.feed(word.encode("utf-8", "replace")) + t.finish()
+        return t.feed(data) + t.finish()
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
+        self.memo.turn()
         for part, special in self.vocabulary.segments(text or ""):
             if special:
                 out.append(self.vocabulary.special[part])
@@ -268,9 +285,7 @@ class Codec:
 
     def forms(self, text: str | None) -> tuple[str, str]:
         """The ids in decimal parted by blanks, and the decoded text, both piece by piece from the memo."""
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-            self.memo.shown.clear()
+        self.memo.turn()
         ids: list[str] = []
         shown: list[str] = []
         for part, special in self.vocabulary.segments(text or ""):
