@@ -42,34 +42,58 @@ from rankloom.llm.wordbpe import pre_tokens, vocabulary
 CHECKPOINT = 256
 #: A block ends with the document that brings it to this many ids.
 BLOCK_IDS = 32_768
-MEMO_WORDS = 250_000
+MEMO_WORDS = 600_000
+
+
+class _Places(dict):
+    """Pre-token -> its number; new ones are numbered on and noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
 
 
 class LibraryEncoder:
-    """Texts to ids by the tokenizers library; each distinct pre-token is encoded once and kept in a bounded memo."""
+    """Texts to ids by the tokenizers library; each distinct pre-token is encoded once and kept in a bounded memo.
+
+    New pre-tokens of a batch go to the library as one text, parted by blanks, which never
+    join pre-tokens; the word ending of the last token of each tells them apart again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.vocabulary = vocabulary(path)
+        self.vocabulary = v = vocabulary(path)
+        self.ends = np.zeros(v.size, dtype=bool)
+        self.ends[[i for t, i in v.ids.items() if t.endswith(v.suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.empty(0, dtype=np.uint32)
-        self.starts = np.zeros(1, dtype=np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        ends = len(self.flat) + np.cumsum([len(x) for x in ids], dtype=np.int64)
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32)])
-        self.starts = np.concatenate([self.starts, ends])
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.index = _Places()
+        special = self.vocabulary.special
+        for t in special:
+            self.index[t] = len(self.index)
+        self.flat = np.fromiter(special.values(), dtype=np.uint32, count=len(special))
+        self.starts = np.arange(len(special) + 1, dtype=np.int64)
+
+    def _learn(self) -> None:
+        new, self.index.new = self.index.new, []
+        found = self.library.encode_batch_fast([" ".join(new[i : i + 4096]) for i in range(0, len(new), 4096)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in found])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("the library and the split into pre-tokens disagree")
+        self.starts = np.concatenate([self.starts, len(self.flat) + ends])
+        self.flat = np.concatenate([self.flat, ids])
 
     def encode(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each text."""
-        if len(self.index) > MEMO_WORDS:
+        if len(self.index) > MEMO_WORDS or len(self.flat) > 16 * MEMO_WORDS:
             self.clear()
         pieces: list[list[str]] = []
         for text in texts:
@@ -77,12 +101,10 @@ class LibraryEncoder:
             for part, special in self.vocabulary.segments(text or ""):
                 words += [part] if special else pre_tokens(part)
             pieces.append(words)
-        index = self.index
-        new = {w for words in pieces for w in words if w not in index}
-        if new:
-            self._learn(sorted(new))
         counts = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        at = np.fromiter(map(index.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=int(counts.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=int(counts.sum()))
+        if self.index.new:
+            self._learn()
         starts = self.starts[at]
         lengths = self.starts[at + 1] - starts
         ends = np.cumsum(lengths)
