@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat_format, mixing, neardup, quality_rules, token_store
+from rankloom.llm import bpe, chat_format, fingerprints, mixing, neardup, quality_model, quality_rules, token_store
 from rankloom.llm.storage import new_path
 
 
@@ -36,6 +36,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -66,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_token_store": op3_token_store,
     "op4_near_dedup": op4_near_dedup,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_quality_model": op6_quality_model,
     "op7_quality_rules": op7_quality_rules,
     "op9_encode_decode": op9_encode_decode,
     "op10_format_chat": op10_format_chat,
