@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat_format, fingerprints, mixing, neardup, quality_model, quality_rules, token_store
+from rankloom.llm import bpe, chat_format, fingerprints, license_scan, mixing, neardup, quality_model, quality_rules, token_rollups, token_store
 from rankloom.llm.storage import new_path
 
 
@@ -15,6 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents, revises every count, drops exact copies and moves the rest to a second
+    tokenizer version. Batches are replayed as after a failure, and the log is compacted on the way."""
+    rows = token_rollups.counts(table(spark, sf_dir, "documents"))
+    gone = token_rollups.copies(rows)
+    kept = rows.join(gone.select("doc_id", "copy_of"), ["doc_id", "copy_of"], "left_anti")
+    batches = {
+        1: token_rollups.inserts(rows, "words", "words"),
+        2: token_rollups.revisions(rows, "words", "words", "pieces"),
+        3: token_rollups.deletes(gone, "words", "pieces"),
+        4: token_rollups.deletes(kept, "words", "pieces").union(token_rollups.inserts(kept, "pieces", "pieces")).union(token_rollups.inserts(kept, "words", "words")),
+    }
+    rollup = token_rollups.Rollup(spark, new_path(spark, "rollup"))
+    for batch in (1, 2, 2, 3, 1, 4, 3, 4):
+        rollup.commit(batch, batches[batch])
+        if batch == 3:
+            rollup.compact()
+    return rollup.totals()
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(mixing.narrow(table(spark, sf_dir, "documents")))
     return plan.select("doc_id", F.col("size"), "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -71,12 +95,14 @@ def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
     "op3_token_store": op3_token_store,
     "op4_near_dedup": op4_near_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality_model": op6_quality_model,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_rollups": op8_token_rollups,
     "op9_encode_decode": op9_encode_decode,
     "op10_format_chat": op10_format_chat,
 }
@@ -165,6 +191,17 @@ SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM measured m LEFT JOIN outside o ON m.doc_id = o.doc_id
 """
 
+OP8_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words,
+         coalesce(len(regexp_extract_all(text, '\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]+')), 0) AS pieces,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+kept AS (SELECT * FROM rows WHERE doc_id IS NULL OR doc_id = first)
+SELECT source, lang, 'words' AS version, count(*)::BIGINT AS docs, sum(words)::BIGINT AS tokens FROM kept GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'pieces', count(*)::BIGINT, sum(pieces)::BIGINT FROM kept GROUP BY source, lang
+"""
+
 OP10_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -185,7 +222,9 @@ FROM marked GROUP BY conv_id
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.scan_sql(),
     "op2_mix_sources": OP2_SQL,
     "op7_quality_rules": OP7_SQL,
+    "op8_token_rollups": OP8_SQL,
     "op10_format_chat": OP10_SQL,
 }
