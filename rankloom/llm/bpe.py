@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -272,16 +273,9 @@ class Codec:
         t = Transducer(self.table)
         return t.feed(data) + t.finish()
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        self.memo.turn()
-        for part, special in self.vocabulary.segments(text or ""):
-            if special:
-                out.append(self.vocabulary.special[part])
-            else:
-                for word in pre_tokens(part):
-                    out += map(int, self.memo[word].split(" "))
-        return out
+    def encode(self, text: str | None) -> np.ndarray:
+        ids, _ = self.forms(text)
+        return np.fromstring(ids, dtype=np.int32, sep=" ")
 
     def forms(self, text: str | None) -> tuple[str, str]:
         """The ids in decimal parted by blanks, and the decoded text, both piece by piece from the memo."""
@@ -332,7 +326,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
         ids = [c.encode(t) for t in batch.column(1).to_pylist()]
-        texts = ["".join(c.decoder.text(i)) for i in ids]
+        texts = ["".join(c.decoder.text(i.tolist())) for i in ids]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     kind = dict(docs.dtypes)["doc_id"]
