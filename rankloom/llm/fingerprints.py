@@ -41,6 +41,8 @@ BASE_CELLS = 12
 GROWTH = 4
 LONG_LINE = 160
 RUN_WORDS = 32
+#: Ranges of doc_id for each shuffle partition.
+RANGES = 8
 #: Texts that are sketched together.
 CHUNK = 256
 LAST = (1 << 63) - 1
@@ -212,14 +214,14 @@ def _compared(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(c, t) for c, (_, t) in zip(columns, _OUT))], names=["doc_id", *(f for f, _ in _OUT)])
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
+def with_next(docs: DataFrame, parts: int, ranges: int) -> DataFrame:
     """bucket, guest, doc_id, text: ranges of documents, each followed by the first document of the next (guest = 1).
 
-    ``parts`` ranges at most; the tables joined here have one row per range.
+    The tables joined here have one row per range. More ranges than parts even the parts out.
     """
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at")
     ids = docs.select(at)
-    cuts = ids.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first()["c"] if parts > 1 else []
+    cuts = ids.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c")).first()["c"] if ranges > 1 else []
     cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
     bucket = F.size(F.filter(cuts, lambda c: c < F.col("at"))).alias("bucket")
     firsts = ids.select("at", bucket).groupBy("bucket").agg(F.min("at").alias("first")).orderBy("bucket").collect()  # a row per range
@@ -256,4 +258,4 @@ def fingerprinted(docs: DataFrame, parts: int | None = None) -> DataFrame:
                     rows = rows[-1:]
 
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, parts).select("bucket", "guest", "doc_id", "text").mapInArrow(run, schema)
+    return with_next(docs, parts, RANGES * parts).select("bucket", "guest", "doc_id", "text").mapInArrow(run, schema)
