@@ -119,3 +119,17 @@ def snowball(edges: DataFrame, sizes: DataFrame, hubs: int, target: int) -> Data
     inside = Window.partitionBy("depth").orderBy("node")
     out = sized.join(F.broadcast(per), "depth").withColumn("running", F.col("before") + F.sum("size").over(inside))
     return out.where(F.col("running") - F.col("size") < target).select("node", "depth", "running")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, label for the ends of ``edges`` (a, b): the smallest node of the component, by labels of labels."""
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other"), "edges")
+    labels = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("l")), "other").groupBy("node").agg(F.min("l").alias("l"))
+        hop = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("mid"))
+        jump = hop.join(labels.select(F.col("node").alias("mid"), F.col("label").alias("far")), "mid").select("node", "old", F.least("mid", "far").alias("label"))
+        jump = written(jump, "labels")
+        if not jump.where("label <> old").limit(1).count():
+            return jump.select("node", "label")
+        labels = jump.select("node", "label")
