@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Words are runs of characters other than space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -25,3 +26,13 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 2048)
                 yield fn(batch.slice(at, rows))
 
     return run
+
+
+#: Rows that Spark hands to Python at once. Long texts make rows large, so batches are small.
+BATCH_ROWS = 512
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_ROWS rows, which bounds the memory of both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
