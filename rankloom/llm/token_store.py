@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.storage import new_path, remove
-from rankloom.llm.textops import per_batch
+from rankloom.llm.textops import mapped, per_batch
 from rankloom.llm.wordbpe import pre_tokens, vocabulary
 
 #: Ids between two checkpoints of a block.
 CHECKPOINT = 256
 #: A block ends with the document that brings it to this many ids.
 BLOCK_IDS = 32_768
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
 
 
 class _Places(dict):
@@ -60,14 +60,17 @@ class _Places(dict):
 class LibraryEncoder:
     """Texts to ids by the tokenizers library; each distinct pre-token is encoded once and kept in a bounded memo.
 
-    New pre-tokens of a batch go to the library as one text, parted by blanks, which never
-    join pre-tokens; the word ending of the last token of each tells them apart again.
+    New pre-tokens of a batch go to the library as one text parted by blanks; the word ending
+    of the last token of each tells them apart again. They are normal already, so the
+    library's model runs behind a split at blanks and the byte-level step alone.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.library.normalizer = normalizers.Sequence([])
+        self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.vocabulary = v = vocabulary(path)
         self.ends = np.zeros(v.size, dtype=bool)
         self.ends[[i for t, i in v.ids.items() if t.endswith(v.suffix)]] = True
@@ -218,39 +221,50 @@ def _codebook(path: str, ids: bytes, bits: bytes) -> Codebook:
     return Codebook(np.frombuffer(ids, dtype=np.int64), np.frombuffer(bits, dtype=np.int64))
 
 
-def _tokenised(path: str, end_id: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    wide = vocabulary(path).size > 1 << 16
+def _tokenised(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: a row (doc_id, ids) for each document and at the end a row with the counts of all ids."""
+    size = vocabulary(path).size
+    kind_of_id = np.dtype("<u4" if size > 1 << 16 else "<u2")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, per_doc = library_encoder(path).encode(batch.column(1).to_pylist(), end_id)
-        raw = ids.astype("<u4" if wide else "<u2").tobytes()
-        ends = np.cumsum(per_doc) * (4 if wide else 2)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b] for a, b in zip([0, *ends[:-1]], ends)] if len(ends) else [], pa.binary())], names=["doc_id", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(max(size, end_id + 1), dtype=np.int64)
+        type_ = None
+        for batch in batches:
+            type_ = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, per_doc = library_encoder(path).encode(part.column(1).to_pylist(), end_id)
+                n += np.bincount(ids, minlength=len(n))
+                raw = ids.astype(kind_of_id).tobytes()
+                ends = np.cumsum(per_doc) * kind_of_id.itemsize
+                cut = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cut, pa.binary()), pa.nulls(len(cut), pa.binary())], names=["doc_id", "ids", "counts"])
+        if type_ is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, type_), pa.nulls(1, pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["doc_id", "ids", "counts"])
 
     return run
 
 
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = [np.frombuffer(b, dtype=np.int64) for b in batch.column(0).to_pylist()]
+    ids = [np.flatnonzero(r) for r in rows]
+    flat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
+    return pa.RecordBatch.from_arrays([flat(ids), flat([r[i] for r, i in zip(rows, ids)])], names=["id", "n"])
+
+
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> None:
     """Encodes the texts of ``docs`` (doc_id, text) and writes a store to ``folder``."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     kind_of_id = np.dtype("<u4" if vocabulary(tokenizer).size > 1 << 16 else "<u2")
     raw_path = new_path(spark, "raw-ids")
-    encoded = docs.select("doc_id", "text").mapInArrow(per_batch(_tokenised(tokenizer, end_id), 256), f"doc_id {kind}, ids binary")
-    encoded.write.option("compression", "zstd").parquet(raw_path)
-    raw = spark.read.schema(encoded.schema).parquet(raw_path)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind_of_id))
-            n = np.pad(n, (0, max(0, len(found) - len(n))))
-            n[: len(found)] += found
-        ids = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[ids], pa.int64())], names=["id", "n"])
+    encoded = mapped(docs.select("doc_id", "text"), _tokenised(tokenizer, end_id), f"doc_id {kind}, ids binary, counts binary")
+    encoded.write.parquet(raw_path)
+    stored = spark.read.schema(encoded.schema).parquet(raw_path)
+    raw = stored.where("ids is not null").select("doc_id", "ids")
 
     # at most one row for each entry of the vocabulary
-    counts = raw.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()
+    counts = mapped(stored.select("counts").where("counts is not null"), per_batch(_unpacked, 64), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()
     ids, n = counts["id"].to_numpy(), counts["n"].to_numpy()
     bits = code_lengths(n)
     spark.createDataFrame(pa.table({"id": ids, "bits": bits}), "id long, bits long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/codebook")
@@ -282,7 +296,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -
             yield flush()
 
     schema = f"part int, block int, doc_ids array<{kind}>, n_tokens array<long>, n_ids long, checkpoints array<long>, payload binary"
-    raw.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(packed, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
+    mapped(raw.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids"), packed, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
     remove(spark, raw_path)
 
 
@@ -321,7 +335,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     blocks = _blocks(spark, folder)
     kind = dict(blocks.dtypes)["doc_ids"][len("array<") : -1]
     read = _decoded(_book_of(spark, folder), lambda ids: [ids.astype(np.int32)], [("ids", pa.list_(pa.int32()))])
-    return blocks.mapInArrow(read, f"part int, block int, doc_id {kind}, at long, n_tokens long, ids array<int>").select("doc_id", "n_tokens", "ids")
+    return mapped(blocks, read, f"part int, block int, doc_id {kind}, at long, n_tokens long, ids array<int>").select("doc_id", "n_tokens", "ids")
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -336,5 +350,5 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     places = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside"))
     places = places.join(parts, "part").select("part", "block", (F.col("before") + F.col("inside")).alias("base"))
     read = _decoded(_book_of(spark, folder), lambda ids: [zlib.crc32(ids.astype("<u4").tobytes())], [("ids_crc32", pa.int64())])
-    rows = blocks.mapInArrow(read, f"part int, block int, doc_id {kind}, at long, n_tokens long, ids_crc32 long")
+    rows = mapped(blocks, read, f"part int, block int, doc_id {kind}, at long, n_tokens long, ids_crc32 long")
     return rows.join(places, ["part", "block"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
