@@ -27,7 +27,7 @@ class TruthLeak(ValueError):
 def reads(df: DataFrame) -> set[str]:
     """Names of the tables and files below a frame."""
     plan = df._jdf.queryExecution().analyzed().toString()
-    files = {re.sub(r"\.parquet.*", "", f.rsplit("/", 1)[-1]) for f in df.inputFiles()}
+    files = {part.removesuffix(".parquet") for f in df.inputFiles() for part in f.split("/") if part.endswith(".parquet") or part.startswith("true_")}
     return files | set(re.findall(r"SubqueryAlias (?:\w+\.)*(\w+)", plan)) | set(re.findall(r"\b(true_\w+)#", plan))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import clean_title, tokens
 from rankloom.operators import asof, embed, extraction, graph, judge, metrics, ranking
 from rankloom.plans.prelude import with_orders, with_text
-from rankloom.plans.retrieval import _rankings
+from rankloom.plans.retrieval import _rankings, usage_mined
 from rankloom.sources.record import Record
+from rankloom.storage import written
 
 AS_OF = "timestamp_ntz'1998-01-01 00:00:00'"
 
@@ -140,6 +141,26 @@ def _onto(rec: Record, blind: bool) -> DataFrame:
 ONTO_ITERATIONS = 5
 
 
+def onto_rule_walk(rec: Record) -> DataFrame:
+    """Evidence grows along the entity graph: from the three best seeds, twice the three best new cards of a walk that
+    starts at all evidence alike. Result: evidence by date, then the seeds that are not part of it."""
+    times, seeds = _region_walks(rec), _region_seeds(rec)
+    links = written(graph.entity_links(_mentions(rec), _facts(rec), times), "rule-links")
+    nodes = links.select("query_id", F.col("src").alias("card_id")).union(links.select("query_id", "dst")).distinct()
+    at = rec.orders.select("card_id", "committed_at")
+    evidence = seeds.where("rank <= 3").select("query_id", "card_id")
+    for _ in range(2):
+        weights = evidence.select("query_id", F.concat(F.lit("c"), F.col("card_id").cast("string")).alias("card_id"), F.lit(1.0).alias("weight"))
+        p = graph.pagerank(nodes, links, weights, iterations=ONTO_ITERATIONS).where("score > 0 and card_id like 'c%'")
+        near = p.select("query_id", F.substring("card_id", 2, 30).cast("long").alias("card_id"), "score")
+        near = near.join(at, "card_id").join(F.broadcast(times), "query_id").where(F.col("committed_at") <= F.col("as_of")).join(evidence, ["query_id", "card_id"], "left_anti")
+        evidence = written(evidence.union(ranking.top(near.select("query_id", "card_id", "score"), 3).select("query_id", "card_id")), "rule-evidence")
+    first = evidence.join(at, "card_id").select("query_id", "card_id", F.lit(0).alias("band"), F.unix_micros(F.col("committed_at").cast("timestamp")).alias("inside"))
+    tail = seeds.join(evidence, ["query_id", "card_id"], "left_anti").select("query_id", "card_id", F.lit(1).alias("band"), F.col("rank").alias("inside"))
+    order = Window.partitionBy("query_id").orderBy("band", "inside", "card_id")
+    return first.union(tail).withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10").select("query_id", "card_id", "rank")
+
+
 def onto_walk_topk(rec: Record) -> DataFrame:
     return _onto(rec, blind=False)
 
@@ -295,6 +316,39 @@ def history_questions(rec: Record) -> DataFrame:
     return per.select("l_partkey", "line", F.col("n").alias("n_slots"), F.col("v").alias("n_values"))
 
 
+def chrono_questions(rec: Record) -> DataFrame:
+    """The first change of a part's reported value on a dataset: the cards that answer just before and just after it."""
+    keys = ["l_partkey", "dataset"]
+    r = _note_lines(rec).groupBy("card_id", *keys).agg(F.min("value").alias("value")).join(rec.orders.select("card_id", "committed_at"), "card_id")
+    order = Window.partitionBy(*keys).orderBy("committed_at", "card_id")
+    r = r.withColumn("before", F.lag(F.struct("card_id", "value")).over(order)).where("before.value <> value")
+    first = r.groupBy(*keys).agg(F.min(F.struct("committed_at", "card_id", "before")).alias("e"))
+    return first.select(*keys, F.col("e.before.card_id").alias("card_before"), F.col("e.card_id").alias("card_after"))
+
+
+def bridge3_questions(rec: Record) -> DataFrame:
+    """A card that uses a part, the first card of another customer that introduces it, and the latest other card on another part of that card."""
+    r = _note_lines(rec).select("card_id", "l_partkey", "role").join(rec.orders.select("card_id", "line", "committed_at"), "card_id").where(F.col("committed_at") <= F.expr(AS_OF))
+    ask = r.where("role = 'uses'").groupBy("l_partkey").agg(F.min(F.struct("committed_at", "card_id", "line")).alias("a"))
+    mid = r.where("role = 'introduces'").join(ask, "l_partkey").where("line <> a.line").groupBy("l_partkey").agg(F.min(F.struct("committed_at", "card_id", "line")).alias("b"), F.first("a").alias("a"))
+    other = mid.join(r.select(F.col("card_id").alias("mid_card"), F.col("l_partkey").alias("q")), F.col("b.card_id") == F.col("mid_card")).where("q <> l_partkey")
+    other = other.groupBy("l_partkey").agg(F.min("q").alias("q"), F.first("a").alias("a"), F.first("b").alias("b"))
+    last = other.join(r.select(F.col("l_partkey").alias("q"), "card_id", "line", "committed_at"), "q").where("line <> a.line and line <> b.line")
+    last = last.groupBy("l_partkey").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.max(F.struct("committed_at", "card_id")).alias("c"))
+    return last.select("l_partkey", F.col("a.card_id").alias("asker"), F.col("b.card_id").alias("middle"), F.col("c.card_id").alias("answer"))
+
+
+def label_source_table(rec: Record) -> DataFrame:
+    """Mean reciprocal rank of both runs and their difference under planted and usage-mined labels."""
+    r = _rankings(rec)
+    out = []
+    for name, lab in (("planted", rec.labels), ("usage_mined", usage_mined(rec).withColumn("slot", F.lit(0)))):
+        m = metrics.reciprocal_rank(r, lab)
+        per = m.groupBy("query_id").agg(F.max(F.when(F.col("run") == "bm25", F.col("mrr"))).alias("a"), F.max(F.when(F.col("run") == "fresh", F.col("mrr"))).alias("b"))
+        out.append(per.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 6).alias("bm25"), F.round(F.avg("b"), 6).alias("fresh")).select(F.lit(name).alias("source"), "n", "bm25", "fresh", F.round(F.col("fresh") - F.col("bm25"), 6).alias("delta")))
+    return out[0].union(out[1])
+
+
 def multihop_table(rec: Record) -> DataFrame:
     """Slot and chain recall of every method over all labelled queries."""
     first = rec.first_stage()
@@ -338,9 +392,9 @@ def judge_agreement(rec: Record) -> DataFrame:
 
 
 NAMES = [
-    aggregate_questions, bfs_sample, bridge_questions, dag_links, dag_mined_labels, dag_snapshot_view, dag_walk_blind_depth, dag_walk_depth, dag_walk_topk, entity_resolution,
-    extraction_fidelity, forward_edges_dropped, hash_embed, history_questions, indegree_asof, judge_agreement, judge_duel, known_item_queries, mention_roles,
-    multihop_table, noise_floor, onto_snapshot_view, onto_walk_blind_topk, onto_walk_topk, ontology_classes, ppr_subgraph, regex_entities, reports_facts, rerank_topk,
+    aggregate_questions, bfs_sample, bridge3_questions, bridge_questions, chrono_questions, dag_links, dag_mined_labels, dag_snapshot_view, dag_walk_blind_depth, dag_walk_depth, dag_walk_topk, entity_resolution,
+    extraction_fidelity, forward_edges_dropped, hash_embed, history_questions, indegree_asof, judge_agreement, judge_duel, known_item_queries, label_source_table, mention_roles,
+    multihop_table, noise_floor, onto_rule_walk, onto_snapshot_view, onto_walk_blind_topk, onto_walk_topk, ontology_classes, ppr_subgraph, regex_entities, reports_facts, rerank_topk,
     round_robin_sample, snowball_sample, time_valid_edges, timeline_questions, title_join,
 ]
 QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Record(spark, sf_dir))) for f in NAMES}
@@ -361,23 +415,23 @@ def _walk_sql(hops: int = 3, blind: bool = False) -> str:
     return WALK.format(hops=hops, gate="" if blind else "AND valid_from <= as_of", seen="" if blind else "WHERE committed_at <= as_of")
 
 
-def _ppr_sql(iterations: int) -> str:
-    """Unrolled iterations over nodes(query_id, card_id), links(query_id, src, dst) and wseeds(query_id, card_id, weight)."""
-    out = """
-both_ways AS (SELECT query_id, src AS a, dst AS b FROM links UNION ALL SELECT query_id, dst, src FROM links),
-deg AS (SELECT query_id, a, count(*) AS d FROM both_ways GROUP BY 1, 2),
-wlinks AS MATERIALIZED (SELECT query_id, a, b, count(*)::DOUBLE / any_value(d) AS w FROM both_ways JOIN deg USING (query_id, a) GROUP BY 1, 2, 3),
-base AS MATERIALIZED (
+def _ppr_sql(iterations: int, tag: str = "", seeds: str = "wseeds") -> str:
+    """Unrolled iterations over nodes(query_id, card_id), links(query_id, src, dst) and seeds(query_id, card_id, weight); the result is ppr + tag."""
+    out = f"""
+both_ways{tag} AS (SELECT query_id, src AS a, dst AS b FROM links UNION ALL SELECT query_id, dst, src FROM links),
+deg{tag} AS (SELECT query_id, a, count(*) AS d FROM both_ways{tag} GROUP BY 1, 2),
+wlinks{tag} AS MATERIALIZED (SELECT query_id, a, b, count(*)::DOUBLE / any_value(d) AS w FROM both_ways{tag} JOIN deg{tag} USING (query_id, a) GROUP BY 1, 2, 3),
+base{tag} AS MATERIALIZED (
   SELECT query_id, card_id, coalesce(weight / total, 0.0::DOUBLE) AS s FROM (SELECT DISTINCT query_id, card_id FROM nodes)
-  LEFT JOIN wseeds USING (query_id, card_id) LEFT JOIN (SELECT query_id, sum(weight) AS total FROM wseeds GROUP BY 1) USING (query_id)),
-p0 AS (SELECT query_id, card_id, s AS p FROM base)"""
+  LEFT JOIN {seeds} USING (query_id, card_id) LEFT JOIN (SELECT query_id, sum(weight) AS total FROM {seeds} GROUP BY 1) USING (query_id)),
+p{tag}0 AS (SELECT query_id, card_id, s AS p FROM base{tag})"""
     for i in range(1, iterations + 1):
         out += f""",
-p{i} AS MATERIALIZED (
-  SELECT base.query_id, base.card_id, 0.5::DOUBLE * s + 0.5::DOUBLE * coalesce(m, 0.0::DOUBLE) AS p FROM base LEFT JOIN
-    (SELECT p.query_id, b AS card_id, sum(p * w) AS m FROM p{i - 1} p JOIN wlinks l ON l.query_id = p.query_id AND l.a = p.card_id GROUP BY 1, 2) c
+p{tag}{i} AS MATERIALIZED (
+  SELECT base.query_id, base.card_id, 0.5::DOUBLE * s + 0.5::DOUBLE * coalesce(m, 0.0::DOUBLE) AS p FROM base{tag} base LEFT JOIN
+    (SELECT p.query_id, b AS card_id, sum(p * w) AS m FROM p{tag}{i - 1} p JOIN wlinks{tag} l ON l.query_id = p.query_id AND l.a = p.card_id GROUP BY 1, 2) c
   ON c.query_id = base.query_id AND c.card_id = base.card_id)"""
-    return out + f",\nppr AS (SELECT query_id, card_id, round(p, 6) AS score FROM p{iterations})"
+    return out + f",\nppr{tag} AS (SELECT query_id, card_id, round(p, 6) AS score FROM p{tag}{iterations})"
 
 
 SPLIT = """
@@ -404,11 +458,10 @@ facts AS (
 """
 
 
-def _onto_sql(blind: bool) -> str:
+def _onto_ctes(blind: bool) -> str:
     began = "true" if blind else "valid_from <= as_of"
     lasts = "true" if blind else "valid_from <= as_of AND (intent = 'history' OR valid_until IS NULL OR valid_until > as_of)"
-    return with_orders(
-        RESULT,
+    return (
         FACTS
         + f""",
 rw AS (
@@ -421,17 +474,36 @@ links AS (
   SELECT query_id, 'c' || card_id AS src, 'ep' || l_partkey AS dst FROM (
     SELECT DISTINCT l_orderkey AS card_id, l_partkey, o_orderdate AS valid_from FROM lineitem JOIN orders ON o_orderkey = l_orderkey) JOIN rw ON {began}
   UNION ALL SELECT query_id, 'e' || subj, 'e' || obj FROM facts JOIN rw ON {lasts} WHERE subj <> obj),
-nodes AS (SELECT query_id, src AS card_id FROM links UNION SELECT query_id, dst FROM links),
-wseeds AS (SELECT query_id, 'c' || card_id AS card_id, 1.0::DOUBLE / rank AS weight FROM rseeds),
-{_ppr_sql(ONTO_ITERATIONS)},
-second AS (
-  SELECT query_id, c.card_id, score FROM (SELECT query_id, substr(card_id, 2)::BIGINT AS card_id, score FROM ppr WHERE score > 0 AND card_id LIKE 'c%') c
-  JOIN ord USING (card_id) JOIN rw USING (query_id) WHERE committed_at <= as_of),
+nodes AS (SELECT query_id, src AS card_id FROM links UNION SELECT query_id, dst FROM links)
 """
-        + SPLIT.format(first="rseeds", second="second"),
     )
 
 
+def _cards_sql(ppr: str) -> str:
+    return f"""SELECT query_id, c.card_id, score FROM (SELECT query_id, substr(card_id, 2)::BIGINT AS card_id, score FROM {ppr} WHERE score > 0 AND card_id LIKE 'c%') c
+  JOIN ord USING (card_id) JOIN rw USING (query_id) WHERE committed_at <= as_of"""
+
+
+def _onto_sql(blind: bool) -> str:
+    weights = ", wseeds AS (SELECT query_id, 'c' || card_id AS card_id, 1.0::DOUBLE / rank AS weight FROM rseeds),"
+    return with_orders(RESULT, _onto_ctes(blind) + weights + _ppr_sql(ONTO_ITERATIONS) + f", second AS ({_cards_sql('ppr')})," + SPLIT.format(first="rseeds", second="second"))
+
+
+def _rule_sql() -> str:
+    out = _onto_ctes(False) + ", e0 AS (SELECT query_id, card_id FROM rseeds WHERE rank <= 3)"
+    for i in (0, 1):
+        out += f""",
+ws{i} AS (SELECT query_id, 'c' || card_id AS card_id, 1.0::DOUBLE AS weight FROM e{i}),
+{_ppr_sql(ONTO_ITERATIONS, f"h{i}", f"ws{i}")},
+new{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, card_id) AS rank FROM ({_cards_sql(f"pprh{i}")}) ANTI JOIN e{i} USING (query_id, card_id)),
+e{i + 1} AS (SELECT * FROM e{i} UNION ALL SELECT query_id, card_id FROM new{i} WHERE rank <= 3)"""
+    out += """,
+bands AS (
+  SELECT query_id, card_id, 0 AS band, epoch_us(committed_at) AS inside FROM e2 JOIN ord USING (card_id)
+  UNION ALL SELECT query_id, card_id, 1, rank FROM rseeds ANTI JOIN e2 USING (query_id, card_id))"""
+    return with_orders("SELECT query_id, card_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY band, inside, card_id) AS rank FROM bands) WHERE rank <= 10", out)
+
+
 SNOW = """
 snow_both AS MATERIALIZED (SELECT src AS a, dst AS b FROM order_edges UNION SELECT dst, src FROM order_edges),
 hubs AS (SELECT a AS node FROM snow_both GROUP BY 1 ORDER BY count(*) DESC, a LIMIT {hubs}),
@@ -510,6 +582,31 @@ ORACLE_SQL = {
 SELECT o.card_id, CASE WHEN superseded_at IS NULL OR superseded_at > TIMESTAMP '1998-01-01' THEN 'current' ELSE 'superseded' END AS state,
        (SELECT count(*) FROM order_edges e WHERE e.src = o.card_id AND e.valid_from <= TIMESTAMP '1998-01-01') AS n_out
 FROM ord o WHERE committed_at <= TIMESTAMP '1998-01-01'"""),
+    "onto_rule_walk": _rule_sql(),
+    "chrono_questions": with_notes("""
+SELECT l_partkey, dataset, arg_min(before_card, (o_orderdate, card_id)) AS card_before, arg_min(card_id, (o_orderdate, card_id)) AS card_after FROM c WHERE before_value <> value GROUP BY 1, 2""",
+        """r AS (SELECT card_id, l_partkey, dataset, min(value) AS value FROM note_lines GROUP BY 1, 2, 3),
+c AS (
+  SELECT r.*, o_orderdate, lag(card_id) OVER w AS before_card, lag(value) OVER w AS before_value FROM r JOIN orders ON o_orderkey = card_id
+  WINDOW w AS (PARTITION BY l_partkey, dataset ORDER BY o_orderdate, card_id))"""),
+    "bridge3_questions": with_notes("""
+SELECT o.l_partkey, any_value(a_card) AS asker, any_value(b_card) AS middle, arg_max(r.card_id, (r.o_orderdate, r.card_id)) AS answer
+FROM o JOIN r ON r.l_partkey = o.q WHERE r.o_custkey <> a_cust AND r.o_custkey <> b_cust GROUP BY 1""",
+        """r AS (SELECT n.*, o_custkey, o_orderdate FROM note_lines n JOIN orders ON o_orderkey = card_id WHERE o_orderdate <= TIMESTAMP '1998-01-01'),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate, card_id) AS k FROM r WHERE role = 'uses') WHERE k = 1),
+b AS (
+  SELECT * FROM (SELECT r.*, a.card_id AS a_card, a.o_custkey AS a_cust, row_number() OVER (PARTITION BY r.l_partkey ORDER BY r.o_orderdate, r.card_id) AS k
+                 FROM r JOIN a ON a.l_partkey = r.l_partkey AND a.o_custkey <> r.o_custkey WHERE r.role = 'introduces') WHERE k = 1),
+o AS (SELECT b.l_partkey, a_card, a_cust, b.card_id AS b_card, b.o_custkey AS b_cust, min(m.l_partkey) AS q FROM b JOIN r m ON m.card_id = b.card_id AND m.l_partkey <> b.l_partkey GROUP BY ALL)"""),
+    "label_source_table": with_text("""
+, three AS (SELECT r.*, l.card_id IS NULL AS miss FROM run_a r LEFT JOIN labels l ON r.query_id = l.query_id AND r.card_id = l.card_id WHERE rank <= 3),
+mined AS (SELECT query_id, arg_min(card_id, miss::INT * 10 + rank) AS card_id FROM three GROUP BY 1),
+both_labels AS (SELECT 'planted' AS source, query_id, card_id FROM labels UNION ALL SELECT 'usage_mined', query_id, card_id FROM mined),
+firsts AS (SELECT source, run, l.query_id, min(rank) AS first FROM both_labels l JOIN rankings r ON r.query_id = l.query_id AND r.card_id = l.card_id GROUP BY 1, 2, 3),
+every_query AS (SELECT source, run, query_id FROM (SELECT DISTINCT source, query_id FROM both_labels), runs),
+rr AS (SELECT source, run, query_id, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr FROM every_query LEFT JOIN firsts USING (source, run, query_id)),
+t AS (SELECT source, count(DISTINCT query_id) AS n, round(avg(mrr) FILTER (run = 'bm25'), 6) AS bm25, round(avg(mrr) FILTER (run = 'fresh'), 6) AS fresh FROM rr GROUP BY 1)
+SELECT *, round(fresh - bm25, 6) AS delta FROM t"""),
     "onto_walk_topk": _onto_sql(False),
     "onto_walk_blind_topk": _onto_sql(True),
     "onto_snapshot_view": f"WITH {FACTS} SELECT subj, obj, count(*) AS n FROM facts WHERE valid_from <= TIMESTAMP '1998-01-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1998-01-01') GROUP BY 1, 2",
