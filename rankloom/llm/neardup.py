@@ -26,7 +26,6 @@ are ignored (``drop_near_duplicates`` returns them as they are).
 from __future__ import annotations
 
 import math
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,27 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.storage import written
-from rankloom.llm.textops import per_batch, words
+from rankloom.llm.textops import mapped, per_batch, words
 
 SKETCH = 64
 #: Lists up to this length give all pairs, longer ones pairs with a hub.
 SHORT_LIST = 16
 #: Bound on the chance that a pair at the threshold has fewer common sketch values than assumed.
 MISS = 1e-7
+#: Members of a long list that are compared with as many others in one task, and the shingles they may have.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Shingles counted at once.
+COLUMNS = 2048
 #: Most rows of ids that are broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
-MEMO_WORDS = 400_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-@cache
-def _hashes() -> _WordHashes:
-    return _WordHashes()
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
@@ -71,12 +62,9 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct shingle values of a text."""
-    memo = _hashes()
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
     tokens = words(text) if text else []
     # only A-Z are lowered: bytes.lower leaves all else
-    w = np.fromiter((memo[t.lower()] for t in tokens), dtype=np.uint64, count=len(tokens))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, map(bytes.lower, tokens)), dtype=np.uint64, count=len(tokens))
     if not len(w):
         return w
     if len(w) < width:
@@ -106,19 +94,25 @@ def featured(docs: DataFrame, width: int) -> DataFrame:
         )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(per_batch(run, 512), f"doc_id {kind}, n long, key binary, sketch array<long>")
+    return mapped(docs.select("doc_id", "text"), per_batch(run, 128), f"doc_id {kind}, n long, key binary, sketch array<long>")
 
 
 def prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """key, n, prefix: the rarest retained values that others retain too, rarest first."""
-    values = classes.select("key", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    """cid, n, centre, prefix: the rarest retained values that others retain too, rarest first.
+
+    ``centre`` is the mean number of classes that retain a value of the sketch; among near
+    copies it is highest for the text that the others were made from.
+    """
+    values = classes.select("cid", F.explode("sketch").alias("value"))
     known = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = values.join(known, "value").groupBy("key", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
+    common = values.join(known, "value").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
+    common = common.join(classes.select("cid", "n", F.size("sketch").alias("m")), "cid")
     whole = F.col("n") * 100 <= F.lit(SKETCH * percent)
     least = F.when(whole, F.expr(f"(n * {percent} + 99) div 100")).otherwise(F.lit(shared_at_least(SKETCH, percent)))
     # values that no other class retains are rarer than all of these and fill the prefix first
     take = F.greatest(F.col("m") - least + 1 - (F.col("m") - F.size("common")), F.lit(0)).cast("int")
-    return common.select("key", "n", F.transform(F.slice("common", F.lit(1), take), lambda x: x["value"]).alias("prefix")).where("size(prefix) > 0")
+    centre = F.aggregate("common", F.lit(0).cast("long"), lambda acc, x: acc + x["df"]) / F.col("m")
+    return common.select("cid", "n", centre.alias("centre"), F.transform(F.slice("common", F.lit(1), take), lambda x: x["value"]).alias("prefix")).where("size(prefix) > 0")
 
 
 def _near_size(a: str, b: str, percent: int):
@@ -130,49 +124,95 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(members: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of keys: all of short lists, and those with the hub of long lists."""
+    """Pairs of classes: all of short lists, and those with the hub of long lists."""
     short = members.join(lists.where(F.col("length") <= SHORT_LIST).select("value"), "value")
     x, y = short.alias("x"), short.alias("y")
-    meet = (F.col("x.value") == F.col("y.value")) & (F.col("x.key") < F.col("y.key")) & _near_size("x.n", "y.n", percent)
+    meet = (F.col("x.value") == F.col("y.value")) & (F.col("x.cid") < F.col("y.cid")) & _near_size("x.n", "y.n", percent)
     close = x.join(y, meet).where(F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.value"))
-    starred = members.join(lists.where(F.col("length") > SHORT_LIST).select("value", "hub"), "value").where(F.col("key") != F.col("hub"))
-    return _ordered(close.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")).union(starred.select(F.col("key").alias("x"), F.col("hub").alias("y"))))
+    starred = members.join(lists.where(F.col("length") > SHORT_LIST).select("value", "hub"), "value").where(F.col("cid") != F.col("hub"))
+    return _ordered(close.select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")).union(starred.select(F.col("cid").alias("x"), F.col("hub").alias("y"))))
+
 
+def unsettled(members: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """value, cid, n, label, outside, blocks: long lists in which the hub is not connected to everyone, stored."""
+    long = members.select("value", "cid", "n").join(lists.where(F.col("length") > SHORT_LIST).select("value", "hub", "length", "shingles"), "value")
+    named = long.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    hubs = labels.select(F.col("cid").alias("hub"), F.col("label").alias("hub_label"))
+    named = named.join(hubs, "hub", "left").withColumn("outside", F.col("label") != F.coalesce("hub_label", "hub"))
+    named = written(named.select("value", "cid", "n", "label", "outside", F.greatest(F.ceil(F.col("length") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "dedup-named")
+    open_lists = named.where("outside").select("value").distinct()
+    return named.join(open_lists, "value", "left_semi")
 
-def remaining_pairs(members: DataFrame, lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that the hubs have not connected: outsiders with all members of other components."""
-    long = members.join(lists.where(F.col("length") > SHORT_LIST).select("value", "hub"), "value")
-    named = long.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    hubs = labels.select(F.col("key").alias("hub"), F.col("label").alias("hub_label"))
-    named = named.join(hubs, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-    outside = named.where((F.col("label") != F.col("hub_label")) & (F.col("key") != F.col("hub"))).alias("x")
-    y = named.where(F.col("key") != F.col("hub")).alias("y")
-    meet = (F.col("x.value") == F.col("y.value")) & (F.col("x.label") != F.col("y.label")) & _near_size("x.n", "y.n", percent)
-    found = outside.join(y, meet).where(F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.value"))
-    return _ordered(found.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")))
+
+def block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of outsiders with members of other components, by exact counts in blocks.
+
+    A list is cut into blocks of about BLOCK members, or fewer where their sets are large. Each pair of an outsider block and a
+    member block is one group: common shingles are counted by a matrix product over the
+    shingles that both sides have, and one link is given out for each pair of components.
+    """
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        side, cid, label = (group[c].to_numpy() for c in ("side", "cid", "label"))
+        found = _block_pairs(side, cid, label, [np.frombuffer(v, dtype=np.uint64) for v in group["values"].to_pylist()], percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    own = F.pmod(F.hash("cid"), F.col("blocks"))
+    seats = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = rest.join(sets, "cid")
+    x = rows.where("outside").select("value", own.alias("i"), F.explode(seats).alias("j"), F.lit(0).alias("side"), "cid", "label", "values")
+    y = rows.select("value", F.explode(seats).alias("i"), own.alias("j"), F.lit(1).alias("side"), "cid", "label", "values")
+    found = x.unionByName(y).groupBy("value", "i", "j").applyInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_pairs(side: np.ndarray, cid: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """One linked pair for each two components, side 0 against side 1."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    xs, ys = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    on_x = side[row] == 0
+    n = int(column.max()) + 1
+    shared = (np.bincount(column[on_x], minlength=n) > 0) & (np.bincount(column[~on_x], minlength=n) > 0)
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column, on_x = row[keep], number[column[keep]], on_x[keep]
+    place = np.empty(len(sets), dtype=np.int64)
+    place[xs], place[ys] = np.arange(len(xs)), np.arange(len(ys))
+    common = np.zeros((len(xs), len(ys)), dtype=np.float32)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        here = (column >= low) & (column < low + COLUMNS)
+        width = min(COLUMNS, int(shared.sum()) - low)
+        mx, my = np.zeros((len(xs), width), dtype=np.float32), np.zeros((len(ys), width), dtype=np.float32)
+        mx[place[row[here & on_x]], column[here & on_x] - low] = 1
+        my[place[row[here & ~on_x]], column[here & ~on_x] - low] = 1
+        common += mx @ my.T
+    both = sizes[xs][:, None] + sizes[ys][None, :]
+    linked = (100 * common >= percent * (both - common)) & (label[xs][:, None] != label[ys][None, :])
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in zip(*np.nonzero(linked)):
+        out.setdefault((int(label[xs[i]]), int(label[ys[j]])), (int(cid[xs[i]]), int(cid[ys[j]])))
+    return list(out.values())
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose union sketch does not rule the threshold out (six standard deviations below it)."""
     p = percent / 100
     floor = p - 6 * math.sqrt(p * (1 - p) / SKETCH)
-    c = classes.select("key", "n", "sketch")
-    a = c.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = c.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    c = classes.select("cid", "n", "sketch")
+    a = c.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = c.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     joined = pairs.join(a, "a").join(b, "b").where(_near_size("na", "nb", percent))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    joined = joined.withColumn("u", union)
+    joined = joined.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH))
     shared = F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb"))
     return joined.where(shared >= F.lit(floor) * F.size("u")).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Sets are made again for the classes in ``pairs`` only."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = written(classes.select("key", "first_id").join(keys, "key", "left_semi"), "dedup-wanted")
-    sets = full_sets(docs, wanted, width)
-    a = sets.select(F.col("key").alias("a"), F.col("values").alias("va"))
-    b = sets.select(F.col("key").alias("b"), F.col("values").alias("vb"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets (cid, values) reach the threshold."""
+    a = sets.select(F.col("cid").alias("a"), F.col("values").alias("va"))
+    b = sets.select(F.col("cid").alias("b"), F.col("values").alias("vb"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -182,7 +222,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(per_batch(run, 256), "a binary, b binary")
+    return mapped(pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb"), per_batch(run, 64), "a long, b long")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -190,51 +230,59 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """key, values for the stored table ``wanted`` (key, first_id)."""
+def full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """cid, values for the classes in ``ids`` (cid), made again from one text of each; stored."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "values"])
 
+    wanted = written(classes.select("cid", "key", "first_id").join(ids, "cid", "left_semi"), "dedup-wanted")
     d, w = docs.select("doc_id", "text").alias("d"), small(wanted.select("first_id").distinct()).alias("w")
     texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.first_id")), "left_semi").select("text")
-    made = texts.mapInArrow(per_batch(run, 512), "key binary, values binary")
-    return written(made.join(small(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"]), "dedup-sets")
+    made = mapped(texts, per_batch(run, 128), "key binary, values binary")
+    return written(made.join(small(wanted.select("key", "cid")), "key").select("cid", "values").dropDuplicates(["cid"]), "dedup-sets")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """key, label for every key in ``edges`` (a, b): the smallest key of its component."""
-    both = written(edges.union(edges.select("b", "a")).toDF("key", "other"), "dedup-edges")
-    labels = written(both.groupBy("key").agg(F.min("other").alias("label")).withColumn("label", F.least("key", "label")), "dedup-labels")
+    """cid, label for every class in ``edges`` (a, b): the smallest cid of its component."""
+    both = written(edges.union(edges.select("b", "a")).toDF("cid", "other"), "dedup-edges")
+    labels = written(both.groupBy("cid").agg(F.min("other").alias("label")).withColumn("label", F.least("cid", "label")), "dedup-labels")
     while True:
-        near = both.join(labels.select(F.col("key").alias("other"), F.col("label").alias("near")), "other").groupBy("key").agg(F.min("near").alias("near"))
-        hop = labels.join(near, "key").select("key", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        # the label of a label: pointer jumping halves the distance to the smallest key
-        jump = hop.join(labels.select(F.col("key").alias("mid"), F.col("label").alias("far")), "mid").select("key", "old", F.least("mid", "far").alias("label"))
+        near = both.join(labels.select(F.col("cid").alias("other"), F.col("label").alias("near")), "other").groupBy("cid").agg(F.min("near").alias("near"))
+        hop = labels.join(near, "cid").select("cid", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        # the label of a label: pointer jumping halves the distance to the smallest cid
+        jump = hop.join(labels.select(F.col("cid").alias("mid"), F.col("label").alias("far")), "mid").select("cid", "old", F.least("mid", "far").alias("label"))
         jump = written(jump, "dedup-labels")
         if not jump.where("label <> old").limit(1).count():
-            return jump.select("key", "label")
-        labels = jump.select("key", "label")
+            return jump.select("cid", "label")
+        labels = jump.select("cid", "label")
+
+
+def connected(members: DataFrame, lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Labels by all links: those of short lists and of hubs, then of what the hubs have left open."""
+    pairs = written(estimated(candidate_pairs(members, lists, percent), classes, percent), "dedup-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    edges = written(verified(pairs, full_sets(docs, classes, ids, width), percent), "dedup-links")
+    labels = components(edges)
+    rest = unsettled(members, lists, labels)
+    if not rest.limit(1).count():
+        return labels
+    found = written(block_links(rest, full_sets(docs, classes, rest.select("cid").distinct(), width), percent), "dedup-links")
+    return components(edges.union(found)) if found.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     features = written(featured(docs, width), "dedup-features")
     classes = features.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "dedup-classes")
-    members = written(prefixes(classes, percent).select("key", "n", "prefix", F.explode("prefix").alias("value")), "dedup-lists")
-    lists = written(members.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.min("key").alias("hub")).where("length > 1"), "dedup-heads")
-    pairs = written(estimated(candidate_pairs(members, lists, percent), classes, percent), "dedup-pairs")
-    edges = written(verified(pairs, docs, classes, width, percent), "dedup-links")
-    labels = components(edges)
-    if lists.where(F.col("length") > SHORT_LIST).limit(1).count():
-        more = written(estimated(remaining_pairs(members, lists, labels, percent), classes, percent).join(pairs, ["a", "b"], "left_anti"), "dedup-pairs")
-        if more.limit(1).count():
-            found = written(verified(more, docs, classes, width, percent), "dedup-links")
-            if found.limit(1).count():
-                labels = components(edges.union(found))
-    named = labels.join(classes.select("key", "first_id"), "key")
+    # numbers are given once, when the table is written, and read from it after that
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "dedup-classes")
+    members = written(prefixes(classes, percent).select("*", F.explode("prefix").alias("value")), "dedup-lists")
+    lists = members.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.sum("n").alias("shingles"), F.max(F.struct("centre", "cid")).alias("best")).where("length > 1")
+    lists = written(lists.select("value", "length", "shingles", F.col("best.cid").alias("hub")), "dedup-heads")
+    labels = connected(members, lists, classes, docs, width, percent)
+    named = labels.join(classes.select("cid", "key", "first_id"), "cid")
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     linked = written(named.join(least, "label").select("key", "component_id"), "dedup-components")
     ids = classes.select("key", "first_id").join(linked, "key", "left").select("key", F.coalesce("component_id", "first_id").alias("component_id"))
