@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import draw
-from rankloom.storage import written
+from rankloom.storage import small, written
 
 
 def with_superseded(cards: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def checked_edges(edges: DataFrame, cards: DataFrame) -> DataFrame:
 
 def in_degrees(edges: DataFrame, times: DataFrame) -> DataFrame:
     """card_id, as_of, in_degree for a small table of distinct times: edges valid by then."""
-    hits = edges.join(F.broadcast(times.select("as_of").distinct()), F.col("valid_from") <= F.col("as_of"))
+    hits = edges.join(small(times.select("as_of").distinct()), F.col("valid_from") <= F.col("as_of"))
     return hits.groupBy(F.col("dst").alias("card_id"), "as_of").agg(F.count(F.lit(1)).alias("in_degree"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.storage import written
+from rankloom.storage import small, written
 
 ALPHA, ITERATIONS = 0.5, 20
 
@@ -31,7 +31,7 @@ def walk(seeds: DataFrame, times: DataFrame, cards: DataFrame, roots: DataFrame,
     committed at the query's time are not reached.
     """
     adjacent = written(contracted(edges, roots), "adjacent")
-    start = seeds.select("query_id", "card_id").join(roots, "card_id").select("query_id", F.col("root").alias("node")).distinct().join(F.broadcast(times), "query_id")
+    start = seeds.select("query_id", "card_id").join(roots, "card_id").select("query_id", F.col("root").alias("node")).distinct().join(times, "query_id")
     reached = written(start.withColumn("depth", F.lit(0)), "walk")
     frontier = reached
     for h in range(1, hops + 1):
@@ -81,7 +81,7 @@ def entity_links(mentions: DataFrame, facts: DataFrame, times: DataFrame, blind:
     Mentions (card, entity, valid_from) last for good; facts (subj, obj, valid_from,
     valid_until) end; facts of an entity with itself leave. Times are a few rows.
     """
-    t = F.broadcast(times.select("query_id", "as_of", "intent"))
+    t = small(times.select("query_id", "as_of", "intent"))
     m = mentions.select(F.concat(F.lit("c"), F.col("card_id").cast("string")).alias("src"), F.concat(F.lit("e"), F.col("entity_id")).alias("dst"), "valid_from")
     f = facts.where("subj <> obj").select(F.concat(F.lit("e"), F.col("subj")).alias("src"), F.concat(F.lit("e"), F.col("obj")).alias("dst"), "valid_from", "valid_until")
     if blind:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.storage import small
+
 
 def judgment_pool(rankings: DataFrame, k: int) -> DataFrame:
     """query_id, card_id: what any run has in its first k."""
@@ -35,13 +37,18 @@ def ndcg(rankings: DataFrame, labels: DataFrame, k: int, judged: DataFrame | Non
         r = r.join(known, ["query_id", "card_id"], "left_semi").withColumn("rank", F.row_number().over(close).cast("long"))
     r = r.where(F.col("rank") <= k).join(labels.select("query_id", "card_id", "grade"), ["query_id", "card_id"])
     gains = r.groupBy("run", "query_id").agg(F.sum(_gain(F.col("grade"), F.col("rank"))).alias("dcg"))
-    every = rankings.select("run").distinct().crossJoin(F.broadcast(ideal(labels, k)))  # a row per run and labelled query
+    every = _for_each_run(ideal(labels, k), rankings)
     return every.join(gains, ["run", "query_id"], "left").select("run", "query_id", F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal"), 6).alias("ndcg"))
 
 
+def _for_each_run(rows: DataFrame, rankings: DataFrame) -> DataFrame:
+    """``rows`` once for every run; runs are the few methods under comparison."""
+    return rows.crossJoin(small(rankings.select("run").distinct(), 1000))
+
+
 def _per_query(rankings: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per run and labelled query with n_relevant."""
-    return rankings.select("run").distinct().crossJoin(F.broadcast(labels.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))))
+    return _for_each_run(labels.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant")), rankings)
 
 
 def hits(rankings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -75,7 +82,7 @@ def bpref(rankings: DataFrame, labels: DataFrame, pool: DataFrame) -> DataFrame:
 
 def slots(rankings: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """run, query_id, slot_recall (any card of a slot counts), chain_recall (all slots), last_hop (the last slot)."""
-    wanted = rankings.select("run").distinct().crossJoin(F.broadcast(labels.select("query_id", "slot").distinct()))
+    wanted = _for_each_run(labels.select("query_id", "slot").distinct(), rankings)
     found = hits(rankings, labels).where(F.col("rank") <= k).select("run", "query_id", "slot", F.lit(1).alias("in_top")).distinct()
     per = wanted.join(found, ["run", "query_id", "slot"], "left").withColumn("in_top", F.coalesce("in_top", F.lit(0)))
     return per.groupBy("run", "query_id").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import draw
+from rankloom.storage import written
 
 Z_ALPHA, Z_POWER = 1.959963985, 0.8416212336
 
@@ -27,6 +28,7 @@ def bootstrap(deltas: DataFrame, resamples: int = 2000, seed: int = 7, alpha: fl
     """
     from pyspark.sql import Window
 
+    deltas = written(deltas.select("label", "query_id", "delta"), "deltas")
     place = Window.partitionBy("label").orderBy("query_id")
     rows = deltas.select("label", "query_id", "delta").withColumn("i", F.row_number().over(place) - 1)
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))

@@ -120,8 +120,8 @@ def _region_walks(rec: Record) -> DataFrame:
 
 def _region_seeds(rec: Record) -> DataFrame:
     n = rec.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("query_id"))
-    c = rec.table("customer").join(F.broadcast(n), "c_nationkey").select(F.col("c_custkey").alias("line"), "query_id")  # nations are 25
-    o = rec.orders.join(c, "line").join(F.broadcast(_region_walks(rec)), "query_id").where(F.col("committed_at") <= F.col("as_of"))
+    c = rec.table("customer").join(n, "c_nationkey").select(F.col("c_custkey").alias("line"), "query_id")
+    o = rec.orders.join(c, "line").join(_region_walks(rec), "query_id").where(F.col("committed_at") <= F.col("as_of"))
     return ranking.top(o.select("query_id", "card_id", F.col("price").alias("score")), 10)
 
 
@@ -134,7 +134,7 @@ def _onto(rec: Record, blind: bool) -> DataFrame:
     p = graph.pagerank(nodes, links, weights, iterations=ONTO_ITERATIONS).where("score > 0 and card_id like 'c%'")
     cards = p.select("query_id", F.substring("card_id", 2, 30).cast("long").alias("card_id"), "score")
     # the result is masked by time even if the walk was blind
-    cards = cards.join(rec.orders.select("card_id", "committed_at"), "card_id").join(F.broadcast(times), "query_id").where(F.col("committed_at") <= F.col("as_of"))
+    cards = cards.join(rec.orders.select("card_id", "committed_at"), "card_id").join(times, "query_id").where(F.col("committed_at") <= F.col("as_of"))
     return ranking.hop_split(seeds, cards.select("query_id", "card_id", "score"), 10)
 
 
@@ -153,7 +153,7 @@ def onto_rule_walk(rec: Record) -> DataFrame:
         weights = evidence.select("query_id", F.concat(F.lit("c"), F.col("card_id").cast("string")).alias("card_id"), F.lit(1.0).alias("weight"))
         p = graph.pagerank(nodes, links, weights, iterations=ONTO_ITERATIONS).where("score > 0 and card_id like 'c%'")
         near = p.select("query_id", F.substring("card_id", 2, 30).cast("long").alias("card_id"), "score")
-        near = near.join(at, "card_id").join(F.broadcast(times), "query_id").where(F.col("committed_at") <= F.col("as_of")).join(evidence, ["query_id", "card_id"], "left_anti")
+        near = near.join(at, "card_id").join(times, "query_id").where(F.col("committed_at") <= F.col("as_of")).join(evidence, ["query_id", "card_id"], "left_anti")
         evidence = written(evidence.union(ranking.top(near.select("query_id", "card_id", "score"), 3).select("query_id", "card_id")), "rule-evidence")
     first = evidence.join(at, "card_id").select("query_id", "card_id", F.lit(0).alias("band"), F.unix_micros(F.col("committed_at").cast("timestamp")).alias("inside"))
     tail = seeds.join(evidence, ["query_id", "card_id"], "left_anti").select("query_id", "card_id", F.lit(1).alias("band"), F.col("rank").alias("inside"))
@@ -230,7 +230,7 @@ def rerank_topk(rec: Record) -> DataFrame:
 def _note_lines(rec: Record) -> DataFrame:
     """Planted sentences: an order's line says how it uses a part and which value it reports on its supplier's region."""
     n = rec.table("nation").join(rec.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), F.initcap(F.split("r_name", " ")[0]).alias("region"))
-    s = rec.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(F.broadcast(n), "s_nationkey")  # nations are 25
+    s = rec.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(n, "s_nationkey")
     line = rec.table("lineitem").join(s, "l_suppkey")
     k = F.col("l_linenumber") % 4
     role = F.when(k == 1, "introduces").when(k == 2, "studies").when(k == 3, "uses").otherwise("mentions")

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from rankloom.operators import asof, lexical, metrics, ranking, stats
 from rankloom.plans.prelude import with_text
 from rankloom.sources.record import Record
+from rankloom.storage import small, written
 
 K = 10
 
 
 def _rankings(rec: Record) -> DataFrame:
-    a = rec.lexical_top(K).withColumn("run", F.lit("bm25"))
-    b = ranking.top(rec.fresh(), K).withColumn("run", F.lit("fresh"))
-    return a.unionByName(b)
+    """The two runs under comparison, stored: ten rows per query and run, which metrics read several times."""
+    if not hasattr(rec, "rankings"):
+        a = rec.lexical_top(K).withColumn("run", F.lit("bm25"))
+        b = ranking.top(rec.fresh(), K).withColumn("run", F.lit("fresh"))
+        rec.rankings = written(a.unionByName(b), "rankings")
+    return rec.rankings
 
 
 def bm25_topk(rec: Record) -> DataFrame:
@@ -34,7 +38,7 @@ def idf_table(rec: Record) -> DataFrame:
 
 
 def asof_snapshot_counts(rec: Record) -> DataFrame:
-    q = F.broadcast(rec.queries.select("as_of").distinct())
+    q = small(rec.queries.select("as_of").distinct())
     seen = rec.versions.join(q, asof.in_snapshot(F.col("as_of")))
     return seen.groupBy(F.date_format("as_of", "yyyy-MM-dd HH").alias("as_of"), "line").agg(F.count(F.lit(1)).alias("n_cards"), F.count_if(asof.current(F.col("as_of"))).alias("n_current"))
 
@@ -97,7 +101,7 @@ def _expanded(rec: Record, first: DataFrame) -> DataFrame:
 
 
 def two_step_topk(rec: Record) -> DataFrame:
-    first = rec.first_stage()
+    first = written(rec.first_stage(), "first-stage")
     return ranking.hop_split(first, _expanded(rec, first), K)
 
 
@@ -201,7 +205,7 @@ def abstain_threshold(rec: Record) -> DataFrame:
 
 def abstention_rates(rec: Record) -> DataFrame:
     """At the shared threshold: no-answer queries that are answered, and answerable ones that are not."""
-    best = rec.first_stage().where("rank = 1").select("query_id", "score")
+    best = written(rec.first_stage().where("rank = 1").select("query_id", "score"), "best")
     limit = best.agg(F.percentile("score", 0.1).alias("threshold"))
     has = rec.labels.select("query_id").distinct().withColumn("answerable", F.lit(True))
     rows = best.crossJoin(F.broadcast(limit)).join(has, "query_id", "left").withColumn("answerable", F.coalesce("answerable", F.lit(False)))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators import asof, lexical, ranking
+from rankloom.storage import small, written
 
 START = "timestamp_ntz'2024-01-01 00:00:00'"
 
@@ -62,12 +63,13 @@ class Record:
     def labels(self) -> DataFrame:
         """query_id, card_id, grade, slot: cards in the snapshot that contain the item's text.
 
-        The stated set of queries is broadcast against the texts, in one pass over them.
+        The stated set of queries is broadcast against the texts, in one pass over them; the
+        few pairs found are stored, as most queries read them several times.
         """
-        found = self.texts.join(F.broadcast(self.queries), F.contains("txt", "qtext")).select("query_id", "card_id", "as_of")
+        found = self.texts.join(small(self.queries), F.contains("txt", "qtext")).select("query_id", "card_id", "as_of")
         found = found.join(self.versions.select("card_id", "committed_at"), "card_id").where(F.col("committed_at") <= F.col("as_of"))
         nth = Window.partitionBy("query_id").orderBy("card_id")
-        return found.select("query_id", "card_id", F.lit(2.0).alias("grade"), (F.row_number().over(nth) % 3).cast("long").alias("slot"))
+        return written(found.select("query_id", "card_id", F.lit(2.0).alias("grade"), (F.row_number().over(nth) % 3).cast("long").alias("slot")), "labels")
 
     # ---- lexical and dense scores ----------------------------------------------------
 
@@ -98,10 +100,10 @@ class Record:
         The vectors of the stated queries are broadcast; every other vector is read once.
         """
         e = self.table("embeddings")
-        q = e.join(F.broadcast(self.queries.select(F.col("query_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+        q = e.join(self.queries.select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
         cards = e.join(self.versions.select(F.col("card_id").alias("vec_id")), "vec_id", "left_semi")
         dot = F.aggregate(F.zip_with("qv", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-        return cards.crossJoin(F.broadcast(q)).select("query_id", F.col("vec_id").alias("card_id"), F.round(dot, ranking.PLACES).alias("score"))
+        return cards.crossJoin(small(q)).select("query_id", F.col("vec_id").alias("card_id"), F.round(dot, ranking.PLACES).alias("score"))
 
     def lexical_top(self, n: int, pool: bool = False) -> DataFrame:
         return ranking.top(asof.masked(self.bm25.where("score > 0"), self.queries, self.versions, pool).select("query_id", "card_id", "score"), n)
@@ -161,5 +163,5 @@ class Record:
     def walk_seeds(self) -> DataFrame:
         """The ten dearest orders of a nation's customers up to its time."""
         o = self.orders.join(self.table("customer").select(F.col("c_custkey").alias("line"), F.col("c_nationkey").cast("long").alias("query_id")), "line")
-        o = o.join(F.broadcast(self.walks), "query_id").where(F.col("committed_at") <= F.col("as_of"))
+        o = o.join(self.walks, "query_id").where(F.col("committed_at") <= F.col("as_of"))
         return ranking.top(o.select("query_id", "card_id", F.col("price").alias("score")), 10)
