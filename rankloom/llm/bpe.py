@@ -35,12 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankloom.llm.textops import per_batch
+from rankloom.llm.textops import mapped, per_batch, sole_memo
 from rankloom.llm.wordbpe import Vocabulary, byte_symbols, pre_tokens, vocabulary
 
 #: Symbols that the buffer takes beyond its least size, to emit many tokens at once.
 SLACK = 2048
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 MEMO_SYMBOLS = 48
 
 
@@ -250,8 +250,13 @@ class _Ids(dict):
         self[word], self.shown[word] = text, shown
         return text
 
+    def forget(self) -> None:
+        self.clear()
+        self.shown, self.old, self.old_shown = {}, {}, {}
+
     def turn(self) -> None:
         """Called between texts."""
+        sole_memo(self, self.forget)
         if len(self) >= MEMO_WORDS:
             self.old, self.old_shown, self.shown = dict(self), self.shown, {}
             self.clear()
@@ -317,7 +322,7 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(per_batch(run, 256), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), per_batch(run, 64), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -330,4 +335,4 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(per_batch(run, 256), f"doc_id {kind}, ids array<int>, decoded string")
+    return mapped(docs.select("doc_id", "text"), per_batch(run, 64), f"doc_id {kind}, ids array<int>, decoded string")

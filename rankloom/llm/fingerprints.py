@@ -36,6 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.textops import mapped
+
 #: Cells of the published sketch; a multiple of 3.
 BASE_CELLS = 12
 GROWTH = 4
@@ -258,4 +260,4 @@ def fingerprinted(docs: DataFrame, parts: int | None = None) -> DataFrame:
                     rows = rows[-1:]
 
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, parts, RANGES * parts).select("bucket", "guest", "doc_id", "text").mapInArrow(run, schema)
+    return mapped(with_next(docs, parts, RANGES * parts).select("bucket", "guest", "doc_id", "text"), run, schema)

@@ -26,7 +26,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankloom.llm.textops import per_batch
+from rankloom.llm.textops import mapped, per_batch
 
 THRESHOLD_PERCENT = 80
 #: Notices and short licence texts as their publishers word them.
@@ -154,7 +154,7 @@ def scan(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(dice, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "license", "dice", "n_units"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(per_batch(run, 512), f"doc_id {kind}, license string, dice double, n_units long")
+    return mapped(docs.select("doc_id", "text"), per_batch(run, 512), f"doc_id {kind}, license string, dice double, n_units long")
 
 
 def scan_sql(percent: int = THRESHOLD_PERCENT) -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from rankloom.llm.textops import per_batch, words
+from rankloom.llm.textops import mapped, per_batch, sole_memo, words
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -44,7 +44,7 @@ EPOCHS = 4
 RATE = 0.2
 SEED = 7
 THRESHOLD = 0.7
-MEMO_WORDS = 300_000
+MEMO_WORDS = 120_000
 
 
 def features(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +96,11 @@ class Model:
             sums = np.bincount(owner, weights=self.weights[ids], minlength=len(new))
             self.memo.update(zip(new, (sums / np.bincount(owner, minlength=len(new))).tolist()))
 
+    def forget(self) -> None:
+        self.memo, self.old = {}, {}
+
     def scores(self, texts: list[str | None]) -> list[float]:
+        sole_memo(self, self.forget)
         split = [words(t) if t else [] for t in texts]
         self._learn(set(chain.from_iterable(split)))
         out = []
@@ -112,7 +116,7 @@ class Model:
         return self.weights.tobytes(), self.lag_weights.tobytes(), self.bias
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _loaded(weights: bytes, lag_weights: bytes, bias: float) -> Model:
     return Model(np.frombuffer(weights, np.float32), np.frombuffer(lag_weights, np.float64), bias)
 
@@ -188,7 +192,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "__score"])
 
     schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
-    return docs.mapInArrow(per_batch(run, 512), schema)
+    return mapped(docs, per_batch(run, 128), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

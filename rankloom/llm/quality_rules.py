@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.storage import written
-from rankloom.llm.textops import BLANKS, per_batch, words
+from rankloom.llm.textops import BLANKS, mapped, per_batch, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -81,7 +81,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and COUNTS for every document, from whole texts."""
     kinds = dict(docs.dtypes)
     schema = f"doc_id {kinds['doc_id']}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(per_batch(_counted), schema)
+    return mapped(docs.select("doc_id", "lang", "source", "text"), per_batch(_counted, 128), schema)
 
 
 def base_failed() -> Column:
@@ -165,5 +165,5 @@ def filter_documents(docs: DataFrame, **options) -> DataFrame:
     columns = [c for c in docs.columns]
     packed = docs.select("lang", "source", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     schema = f"lang string, source string, row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS)
-    counted = packed.mapInArrow(per_batch(_counted), schema).select("*", *metric_columns())
+    counted = mapped(packed, per_batch(_counted, 128), schema).select("*", *metric_columns())
     return judged(counted, limits).where("kept").select("row.*")

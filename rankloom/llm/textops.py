@@ -36,3 +36,17 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     """``df.mapInArrow`` with batches of at most BATCH_ROWS rows, which bounds the memory of both sides."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
+
+
+_memo_owner: list = [None, None]
+
+
+def sole_memo(owner: object, drop: Callable[[], None]) -> None:
+    """Called by the owner of a memo before it is used: at most one memo lives in a Python worker.
+
+    Workers outlive stages, so the memo of an earlier operator is dropped when the next one starts.
+    """
+    if _memo_owner[0] is not owner:
+        if _memo_owner[1]:
+            _memo_owner[1]()
+        _memo_owner[:] = [owner, drop]

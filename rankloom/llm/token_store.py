@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.storage import new_path, remove
-from rankloom.llm.textops import mapped, per_batch
+from rankloom.llm.textops import mapped, per_batch, sole_memo
 from rankloom.llm.wordbpe import pre_tokens, vocabulary
 
 #: Ids between two checkpoints of a block.
@@ -96,6 +96,7 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each text."""
+        sole_memo(self, self.clear)
         if len(self.index) > MEMO_WORDS or len(self.flat) > 16 * MEMO_WORDS:
             self.clear()
         pieces: list[list[str]] = []
