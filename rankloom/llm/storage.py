@@ -1,45 +1,5 @@
-"""Where operators put tables that must outlive a lost executor.
+"""Shared storage, as in the rest of the library."""
 
-Lineage is cut by writing Parquet below the folder named in ``spark.checkpoint.dir``,
-which the driver and all executors share. Only where that setting is missing (tests on
-one machine) a temporary folder is used.
-"""
+from rankloom.storage import new_path, remove, shared_dir, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; on a single machine without the setting, one temporary folder per process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="rankloom-"))
-    return _own[0]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/rankloom/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """``df`` written once as Parquet and read again: later uses cost a scan, and lost tasks reread files."""
-    spark = df.sparkSession
-    path = path or new_path(spark, label)
-    schema = df.schema
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table that nothing reads any more."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["new_path", "remove", "shared_dir", "written"]
