@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **opti
     chosen = [clean.where((F.col("quality") > 0) == good).orderBy("h", "doc_id").limit(per_class) for good in (False, True)]
     # at most 2 * per_class narrow rows are broadcast, and as many documents are gathered
     picked = F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "quality", "h"))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").toPandas().sort_values(["h", "doc_id"]).drop_duplicates("doc_id")
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").toPandas().sort_values(["h", "doc_id", "text"]).drop_duplicates("doc_id")
     if not len(rows):
         return Model(np.zeros(BUCKETS), np.zeros(len(LAGS)), 0.0)
     return fit(rows["text"].tolist(), [int(q > 0) for q in rows["quality"]], **options)
