@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.plans import networks, retrieval
+from rankloom.plans import evaluation, networks, retrieval
 
-QUERIES = {**retrieval.QUERIES, **networks.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **networks.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **networks.QUERIES, **evaluation.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **networks.ORACLE_SQL, **evaluation.ORACLE_SQL}
