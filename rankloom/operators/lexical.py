@@ -26,9 +26,10 @@ def tokenised(cards: DataFrame) -> DataFrame:
     return w.select("card_id", "w", F.size("w").alias("dl"))
 
 
-def statistics(toks: DataFrame) -> DataFrame:
-    """One row: n_docs, avgdl (1 if there are no tokens)."""
-    return toks.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.coalesce(F.avg("dl"), F.lit(1.0)), F.lit(1e-9)).alias("avgdl"))
+def statistics(cards: DataFrame) -> DataFrame:
+    """One row: n_docs, avgdl (1 if there are no tokens); tokens are counted without being made."""
+    lengths = cards.select(F.coalesce(F.regexp_count(F.lower("txt"), F.lit("[a-z0-9]+")), F.lit(0)).alias("dl"))
+    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.coalesce(F.avg("dl"), F.lit(1.0)), F.lit(1e-9)).alias("avgdl"))
 
 
 def postings(toks: DataFrame, terms: DataFrame | None = None) -> DataFrame:

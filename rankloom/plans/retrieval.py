@@ -90,10 +90,9 @@ def first_stage(rec: Record) -> DataFrame:
 
 def _expanded(rec: Record, first: DataFrame) -> DataFrame:
     """First stage for each query with its feedback terms added."""
-    posts = lexical.postings(rec.toks, None)
     seen = first.where(F.col("rank") <= 5).select("card_id").distinct()
-    own = posts.join(seen, "card_id", "left_semi")
-    needed = posts.join(own.select("term").distinct(), "term", "left_semi")
+    own = written(lexical.postings(rec.toks.join(seen, "card_id", "left_semi")), "feedback")
+    needed = lexical.postings(rec.toks, own.select("term").distinct())
     extra = lexical.feedback_terms(first, own, lexical.inverse_frequencies(needed, rec.stats), rec.terms)
     terms = rec.terms.unionByName(extra)
     lex = asof.masked(rec.bm25_of(terms).where("score > 0"), rec.queries, rec.versions, pool=True)

@@ -79,14 +79,15 @@ class Record:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return lexical.statistics(self.toks)
+        return written(lexical.statistics(self.texts), "stats")
 
     @cached_property
     def terms(self) -> DataFrame:
         return lexical.query_terms(self.queries)
 
     def bm25_of(self, terms: DataFrame) -> DataFrame:
-        posts = lexical.postings(self.toks, terms)
+        # stored: idf and scores both read these few postings, and the texts are split once
+        posts = written(lexical.postings(self.toks, terms), "postings")
         return lexical.bm25(terms, posts, lexical.inverse_frequencies(posts, self.stats), self.stats)
 
     @cached_property
