@@ -26,6 +26,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 from hashlib import sha256
@@ -33,7 +34,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.textops import mapped
@@ -46,7 +47,7 @@ RUN_WORDS = 32
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 8
 #: Texts that are sketched together.
-CHUNK = 256
+CHUNK = 128
 LAST = (1 << 63) - 1
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -216,6 +217,17 @@ def _compared(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(c, t) for c, (_, t) in zip(columns, _OUT))], names=["doc_id", *(f for f, _ in _OUT)])
 
 
+def _range_number(cuts: list[int], at: Column) -> Column:
+    """How many of the sorted ``cuts`` are below ``at``: first among the last of every group of cuts, then inside one group."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    array = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    below = lambda c: F.size(F.filter(c, lambda x: x < at))
+    groups = below(array(cuts[step - 1 :: step])) * step
+    return groups + below(F.slice(array(cuts), groups + 1, F.lit(step)))
+
+
 def with_next(docs: DataFrame, parts: int, ranges: int) -> DataFrame:
     """bucket, guest, doc_id, text: ranges of documents, each followed by the first document of the next (guest = 1).
 
@@ -224,8 +236,7 @@ def with_next(docs: DataFrame, parts: int, ranges: int) -> DataFrame:
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at")
     ids = docs.select(at)
     cuts = ids.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c")).first()["c"] if ranges > 1 else []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
-    bucket = F.size(F.filter(cuts, lambda c: c < F.col("at"))).alias("bucket")
+    bucket = _range_number(sorted(set(cuts or [])), F.col("at")).alias("bucket")
     firsts = ids.select("at", bucket).groupBy("bucket").agg(F.min("at").alias("first")).orderBy("bucket").collect()  # a row per range
     known = [(first, firsts[i - 1]["bucket"] if i else firsts[-1]["bucket"]) for i, (_, first) in enumerate(map(tuple, firsts))]
     guests = docs.sparkSession.createDataFrame(known, "first long, before int")

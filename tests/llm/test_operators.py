@@ -464,3 +464,9 @@ def test_pipeline_stages_equal_their_operators(spark, sf_dir):
         at = out
     final = corpus_pipeline.run(spark, sf_dir)
     assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in at.collect())
+
+
+def test_range_numbers_count_the_cuts_below(spark):
+    for cuts in ([], [5], [1, 2, 3], list(range(0, 100, 7)), list(range(50))):
+        rows = spark.range(-3, 110).select("id", fingerprints._range_number(cuts, F.col("id")).alias("n")).collect()
+        assert all(r.n == sum(c < r.id for c in cuts) for r in rows)
