@@ -121,15 +121,37 @@ def _loaded(weights: bytes, lag_weights: bytes, bias: float) -> Model:
     return Model(np.frombuffer(weights, np.float32), np.frombuffer(lag_weights, np.float64), bias)
 
 
-def _bag(tokens: list[bytes], known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The feature ids of a document and their shares in its average."""
-    again = repeats(tokens)
-    size = max(1, len(tokens) + sum(again))
-    counts = Counter(tokens)
-    ids = [known[t] for t in counts] + [np.arange(BUCKETS, BUCKETS + len(LAGS))]
-    shares = [np.full(len(known[t]), n / size / len(known[t])) for t, n in counts.items()] + [np.array(again) / size]
-    ids, back = np.unique(np.concatenate(ids), return_inverse=True)
-    return ids, np.bincount(back, weights=np.concatenate(shares))
+class _Bags:
+    """Feature ids of all words of a sample in one flat array, and documents as bags of features."""
+
+    def __init__(self, texts: list[str | None]):
+        every = sorted(set(chain.from_iterable(words(t) for t in texts if t)))
+        self.number = dict(zip(every, range(len(every))))
+        flat, sizes = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int64)]
+        for at in range(0, len(every), 16_384):
+            part = every[at : at + 16_384]
+            ids, owner = features(part)
+            flat.append(ids[np.argsort(owner, kind="stable")].astype(np.int32))
+            sizes.append(np.bincount(owner, minlength=len(part)))
+        self.flat = np.concatenate(flat)
+        self.ends = np.cumsum(np.concatenate(sizes))
+
+    def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The feature ids of a document and their shares in its average."""
+        tokens = words(text) if text else []
+        again = repeats(tokens)
+        size = max(1, len(tokens) + sum(again))
+        counts = Counter(tokens)
+        at = np.fromiter(map(self.number.__getitem__, counts), dtype=np.int64, count=len(counts))
+        n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        starts = np.where(at > 0, self.ends[at - 1], 0) if len(at) else at
+        lengths = self.ends[at] - starts
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = np.concatenate([ids, np.arange(BUCKETS, BUCKETS + len(LAGS), dtype=np.int32)])
+        shares = np.concatenate([np.repeat(n / size / lengths, lengths), np.array(again) / size])
+        ids, back = np.unique(ids, return_inverse=True)
+        return ids, np.bincount(back, weights=shares).astype(np.float32)
 
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
@@ -141,12 +163,8 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate:
     rng = np.random.default_rng(seed)
     vectors = np.concatenate([rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), np.zeros((len(LAGS), DIM))])
     out, bias = rng.uniform(-1 / DIM, 1 / DIM, (2, DIM)), np.zeros(2)
-    split = [words(t) if t else [] for t in texts]
-    every = sorted(set(chain.from_iterable(split)))
-    ids, owner = features(every) if every else (np.empty(0, np.int64), np.empty(0, np.int64))
-    order = np.argsort(owner, kind="stable")
-    known = dict(zip(every, np.split(ids[order], np.searchsorted(owner[order], np.arange(1, len(every))))))
-    bags = [_bag(tokens, known) for tokens in split]
+    sample = _Bags(texts)
+    bags = [sample.bag(t) for t in texts]
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
