@@ -60,11 +60,11 @@ def dag_walk_blind_depth(rec: Record) -> DataFrame:
 
 
 def dag_links(rec: Record) -> DataFrame:
-    return graph.induced(_walk(rec, hops=1), rec.order_edges).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_links"), F.min("src").alias("first_src"), F.max("dst").alias("last_dst"))
+    return graph.induced(_walk(rec), rec.order_edges).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_links"), F.min("src").alias("first_src"), F.max("dst").alias("last_dst"))
 
 
 def ppr_subgraph(rec: Record) -> DataFrame:
-    nodes = _walk(rec, hops=1).select("query_id", "card_id")
+    nodes = written(_walk(rec).select("query_id", "card_id"), "nodes")
     seeds = rec.walk_seeds.select("query_id", "card_id", (1.0 / F.col("rank")).alias("weight"))
     return graph.pagerank(nodes, graph.induced(nodes, rec.order_edges), seeds)
 
