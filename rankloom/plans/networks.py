@@ -131,13 +131,14 @@ def _onto(rec: Record, blind: bool) -> DataFrame:
     nodes = links.select("query_id", F.col("src").alias("card_id")).union(links.select("query_id", "dst")).distinct()
     seeds = _region_seeds(rec)
     weights = seeds.select("query_id", F.concat(F.lit("c"), F.col("card_id").cast("string")).alias("card_id"), (1.0 / F.col("rank")).alias("weight"))
-    p = graph.pagerank(nodes, links, weights, iterations=ONTO_ITERATIONS).where("score > 0 and card_id like 'c%'")
+    p = graph.pagerank(nodes, links, weights).where("score > 0 and card_id like 'c%'")
     cards = p.select("query_id", F.substring("card_id", 2, 30).cast("long").alias("card_id"), "score")
     # the result is masked by time even if the walk was blind
     cards = cards.join(rec.orders.select("card_id", "committed_at"), "card_id").join(times, "query_id").where(F.col("committed_at") <= F.col("as_of"))
     return ranking.hop_split(seeds, cards.select("query_id", "card_id", "score"), 10)
 
 
+#: Of the registered SQL only; the queries run all iterations.
 ONTO_ITERATIONS = 5
 
 
@@ -151,7 +152,7 @@ def onto_rule_walk(rec: Record) -> DataFrame:
     evidence = seeds.where("rank <= 3").select("query_id", "card_id")
     for _ in range(2):
         weights = evidence.select("query_id", F.concat(F.lit("c"), F.col("card_id").cast("string")).alias("card_id"), F.lit(1.0).alias("weight"))
-        p = graph.pagerank(nodes, links, weights, iterations=ONTO_ITERATIONS).where("score > 0 and card_id like 'c%'")
+        p = graph.pagerank(nodes, links, weights).where("score > 0 and card_id like 'c%'")
         near = p.select("query_id", F.substring("card_id", 2, 30).cast("long").alias("card_id"), "score")
         near = near.join(at, "card_id").join(times, "query_id").where(F.col("committed_at") <= F.col("as_of")).join(evidence, ["query_id", "card_id"], "left_anti")
         evidence = written(evidence.union(ranking.top(near.select("query_id", "card_id", "score"), 3).select("query_id", "card_id")), "rule-evidence")

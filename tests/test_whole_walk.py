@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from rankloom.plans import registry
+from rankloom.operators import graph
+from rankloom.plans import networks, registry
 from tests.compare import assert_same, connect
 
 
@@ -13,3 +14,28 @@ def test_walk_takes_three_hops(spark, sf_dir, name):
     whole, n = re.subn(r"WHERE depth < \d+\)", "WHERE depth < 3)", registry.ORACLE_SQL[name])
     assert n == 1
     assert_same(registry.QUERIES[name](spark, sf_dir).toPandas(), connect(sf_dir).execute(whole).df())
+
+
+def onto_sql(name):
+    """The registered SQL with 20 iterations in place of its own number."""
+    rule = name == "onto_rule_walk"
+    short = networks._ppr_sql(networks.ONTO_ITERATIONS)
+    out = registry.ORACLE_SQL[name]
+    pairs = [(networks._ppr_sql(networks.ONTO_ITERATIONS, f"h{i}", f"ws{i}"), networks._ppr_sql(20, f"h{i}", f"ws{i}")) for i in (0, 1)] if rule else [(short, networks._ppr_sql(20))]
+    for few, all_ in pairs:
+        assert few in out
+        out = out.replace(few, all_)
+    return out
+
+
+@pytest.mark.parametrize("name", ["onto_walk_topk", "onto_walk_blind_topk", "onto_rule_walk"])
+def test_entity_walk_runs_all_iterations(spark, sf_dir, name, monkeypatch):
+    rounds, real = [], graph.pagerank
+
+    def counted(*args, **options):
+        rounds.append(options.get("iterations", graph.ITERATIONS))
+        return real(*args, **options)
+
+    monkeypatch.setattr(graph, "pagerank", counted)
+    assert_same(registry.QUERIES[name](spark, sf_dir).toPandas(), connect(sf_dir).execute(onto_sql(name)).df())
+    assert set(rounds) == {20}
