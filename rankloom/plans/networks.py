@@ -288,7 +288,7 @@ def timeline_questions(rec: Record) -> DataFrame:
     """A part reported at least twice on a dataset: the reports in date order, one slot each."""
     keys = ["l_partkey", "dataset"]
     r = _note_lines(rec).select("card_id", *keys).distinct().join(rec.orders.select("card_id", "committed_at"), "card_id")
-    many = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 9")
+    many = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     order = Window.partitionBy(*keys).orderBy("committed_at", "card_id")
     return r.join(many, keys).select(*keys, (F.row_number().over(order) - 1).cast("long").alias("slot"), "card_id")
 

@@ -39,3 +39,12 @@ def test_entity_walk_runs_all_iterations(spark, sf_dir, name, monkeypatch):
     monkeypatch.setattr(graph, "pagerank", counted)
     assert_same(registry.QUERIES[name](spark, sf_dir).toPandas(), connect(sf_dir).execute(onto_sql(name)).df())
     assert set(rounds) == {20}
+
+
+def test_timeline_has_no_upper_bound(spark, sf_dir):
+    few = registry.ORACLE_SQL["timeline_questions"]
+    whole = few.replace("HAVING count(*) BETWEEN 2 AND 9", "HAVING count(*) >= 2")
+    assert whole != few
+    want = connect(sf_dir).execute(whole).df()
+    assert want["slot"].max() >= 9
+    assert_same(registry.QUERIES["timeline_questions"](spark, sf_dir).toPandas(), want)
