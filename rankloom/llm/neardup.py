@@ -272,8 +272,8 @@ def connected(members: DataFrame, lists: DataFrame, classes: DataFrame, docs: Da
     return components(edges.union(found)) if found.limit(1).count() else labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, the key of its set and the label of its component."""
     features = written(featured(docs, width), "dedup-features")
     classes = features.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # numbers are given once, when the table is written, and read from it after that
@@ -284,26 +284,54 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = connected(members, lists, classes, docs, width, percent)
     named = labels.join(classes.select("cid", "key", "first_id"), "cid")
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    linked = written(named.join(least, "label").select("key", "component_id"), "dedup-components")
-    ids = classes.select("key", "first_id").join(linked, "key", "left").select("key", F.coalesce("component_id", "first_id").alias("component_id"))
+    linked = written(named.join(least, "label").select("key", "label", "component_id"), "dedup-components")
+    ids = classes.select("key", "first_id", "cid").join(linked, "key", "left").select("key", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("label", "cid").alias("label"))
     out = features.select("doc_id", "n", "key").join(ids, "key", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "label")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return marked(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keyed_rows(docs: DataFrame, width: int) -> DataFrame:
+    """row (all columns), doc_id, text and the key of the set, which is null without shingles."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+        keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), keys], names=["doc_id", "text", "row", "key"])
+
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kinds = dict(packed.dtypes)
+    return mapped(packed, per_batch(run, 128), f"doc_id {kinds['doc_id']}, text string, row {kinds['row']}, key binary")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which one stays for each component; columns as they are.
 
-    Of rows that repeat both doc_id and text one stays.
+    A doc_id of one row stands for its row. Rows whose doc_id is null or repeated are told
+    apart by their sets, and of those of one set the least text stays. Rows without
+    shingles all stay, but for repeats of both doc_id and text.
     """
-    marks = written(near_duplicates(docs, width, percent), "dedup-marks")
-    gone = small(written(marks.where("not kept").select("doc_id").distinct(), "dedup-gone"))
+    marks = written(marked(docs, width, percent), "dedup-marks")
+    unsure = written(marks.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "dedup-unsure")
+    some = unsure.limit(1).count() > 0
+    gone = marks.where("not kept").select("doc_id").distinct()
+    gone = small(written(gone.union(unsure).distinct() if some else gone, "dedup-gone"))
     d, g = docs.alias("d"), gone.alias("g")
     left = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
-    twice = marks.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.limit(1).count():
+    if not some:
         return left
-    t = small(written(twice, "dedup-twice")).alias("t")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))
-    left = left.alias("d")
-    return left.join(t, same, "left_anti").unionByName(left.join(t, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    u = small(unsure).alias("u")
+    m = marks.where("kept").alias("m").join(u, F.col("m.doc_id").eqNullSafe(F.col("u.doc_id")), "left_semi")
+    # a component's kept rows have one doc_id; without shingles a row is its own component
+    chosen = m.where("key is not null").groupBy("label").agg(F.first("doc_id").alias("doc_id"), F.min("key").alias("key")).select("doc_id", "key")
+    chosen = small(written(chosen.union(m.where("key is null").select("doc_id", "key").distinct()), "dedup-chosen")).alias("c")
+    rows = keyed_rows(d.join(u, F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")), "left_semi"), width).alias("r")
+    rows = rows.join(chosen, F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("r.key").eqNullSafe(F.col("c.key")), "left_semi")
+    same = F.when(F.col("key").isNull(), F.col("text")).alias("same")
+    one = rows.groupBy("doc_id", "key", same).agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    return left.unionByName(one.select("row.*"))
