@@ -1,27 +1,39 @@
 """Quality rules with thresholds that follow the data.
 
-Cutoffs are not fixed: for every language and source a mergeable quantile sketch of each
-metric gives quartiles, and a document is outside when a metric lies beyond
-``quartile +- spread * (q75 - q25)`` plus a small slack. A sketch is a set of log-linear
-buckets with counts (64 exact values, then 32 buckets for each doubling: a relative error
-below 1/32). Counts add up, so sketches merge in any order and grouping, map-side too,
-and a hot source costs no more than another; groups with fewer than ``min_docs``
-documents use the sketch of their language, and if that is small too, the one of all
-documents, both merged from the same buckets. The thresholds are then joined to the
-documents.
+No cutoff is a number given in advance: all come from mergeable quantile sketches of each
+metric per language and source. A sketch is a set of log-linear buckets with counts (256
+exact values, then 128 buckets for each doubling: a relative error below 1/128). Counts add
+up, so sketches merge in any order and grouping, map-side too, and a hot source costs no
+more than another.
+
+A group's own sketch is merged with its language's, weighted as ``prior`` documents, and
+the language's with that of all documents in the same way, so small groups lean on their
+language and large ones on themselves, without a size at which the rule changes. With q25
+and q75 of the blend::
+
+    width = max(spread * (q75 - q25), |mean - median| of the language)
+    low   = q25 - width
+    high  = q75 + width          and for metrics in TAILED at least q99 + (q99 - q50)
+
+The second term of the width matters where most values are equal. Repetition and capitals
+occur in a few per cent of ordinary documents, so these cutoffs lie beyond the tail.
+Multiplying a metric by a constant multiplies its cutoffs and changes no verdict. The
+thresholds are then joined to the documents.
 
 Metrics (integers): symbols, repeated words, capitals and repeated lines per 1000, and
 characters per 100 words.
 
 Defined cases: a null text has no words; documents without words or below the base rules
 are out and take no part in the sketches; null languages and sources form groups of
-their own; repeated rows are judged alike; an empty table gives no rows; other columns
-pass through ``filter_documents`` untouched and are ignored elsewhere.
+their own; repeated rows are judged alike; texts of any length are counted whole, one
+text at a time in memory; an empty table gives no rows; other columns pass through
+``filter_documents`` untouched and are ignored elsewhere.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +45,16 @@ from rankloom.llm.textops import BLANKS, mapped, per_batch, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Metric -> slack in its unit, the least distance between a quartile and its cutoff.
-METRICS = {"symbol_rate": 120, "repeat_rate": 250, "capital_rate": 150, "line_rate": 350, "word_length": 80}
-SPREAD = 3.0
-MIN_DOCS = 100
+METRICS = ("symbol_rate", "repeat_rate", "capital_rate", "line_rate", "word_length")
+TAILED = ("repeat_rate", "capital_rate", "line_rate")
+SPREAD = 3
+#: Documents of the language that a group's sketch is merged with.
+PRIOR = 100
+#: A document's weight in whole numbers, so that merged weights stay exact.
+UNIT = 1_000_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 #: Values below 2 to this power have buckets of their own.
-EXACT_BITS = 6
+EXACT_BITS = 8
 
 
 def base_counts(text: str | None) -> tuple[int, ...]:
@@ -111,30 +126,49 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "metric", bucket_low(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def merged_quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """q25, q75 and the number of documents for each group of ``by`` and metric.
+def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """The sketches of ``sketch`` added up for each group of ``by``, weights in units of a document."""
+    return sketch.groupBy(*by, "metric", "bucket").agg((F.sum("n") * UNIT).alias("w"))
+
+
+def blended(own: DataFrame, wide: DataFrame, on: list[str], prior: int = PRIOR) -> DataFrame:
+    """``own`` merged with the sketch of the wider group that ``on`` names, which weighs ``prior`` documents.
 
     Windows run over the buckets of a sketch, a few hundred rows for any number of documents.
     """
-    cells = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*by, "metric")
+    keys = [c for c in own.columns if c not in ("bucket", "w")]
+    total = F.sum("w").over(Window.partitionBy(*on, "metric"))
+    # weights count documents in units of 1e-6; a share is rounded down to a unit before it is multiplied
+    share = wide.select(*on, "metric", "bucket", "w", total.alias("t"))
+    lent = share.select(*on, "metric", "bucket", F.expr(f"w div (t div {UNIT}) * {prior}").alias("w"))
+    groups, x = own.select(*keys).distinct().alias("g"), lent.alias("x")
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"x.{c}")) for c in (*on, "metric")]
+    more = groups.join(x, reduce(Column.__and__, same)).select("g.*", "x.bucket", "x.w")
+    return own.select(*keys, "bucket", "w").unionByName(more).groupBy(*keys, "bucket").agg(F.sum("w").alias("w"))
+
+
+def quantiles(cells: DataFrame, levels: dict[str, int]) -> DataFrame:
+    """Per group and metric the named quantiles (levels in per cent) and the mean, all whole numbers."""
+    keys = [c for c in cells.columns if c not in ("bucket", "w")]
+    group = Window.partitionBy(*keys)
     up_to = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("c", F.sum("n").over(up_to)).withColumn("total", F.sum("n").over(group))
-    at = lambda q: F.min(F.when(F.col("c") * 100 >= F.col("total") * q, F.col("bucket")))
-    return cells.groupBy(*by, "metric").agg(at(25).alias("q25"), at(75).alias("q75"), F.max("total").alias("docs"))
+    cells = cells.withColumn("c", F.sum("w").over(up_to)).withColumn("total", F.sum("w").over(group))
+    at = lambda q: F.min(F.when(F.col("c") >= F.expr(f"total div 100 * {q} + total % 100 * {q} div 100"), F.col("bucket")))
+    mean = F.expr("cast(sum(cast(bucket as decimal(38, 0)) * w) div max(total) as bigint)").alias("mean")
+    return cells.groupBy(*keys).agg(*[at(q).alias(name) for name, q in levels.items()], mean)
 
 
-def thresholds(sketch: DataFrame, spread: float = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
+def thresholds(sketch: DataFrame, spread: int = SPREAD, prior: int = PRIOR) -> DataFrame:
     """lang, source and a low and high cutoff for each metric: one row per group of the sketch."""
-    own = merged_quartiles(sketch, ["lang", "source"]).alias("o")
-    lang = merged_quartiles(sketch, ["lang"]).alias("l")
-    every = merged_quartiles(sketch, []).alias("a")
-    joined = own.join(lang, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.metric") == F.col("l.metric"))).join(every, F.col("o.metric") == F.col("a.metric"))
-    pick = lambda c: F.when(F.col("o.docs") >= min_docs, F.col(f"o.{c}")).when(F.col("l.docs") >= min_docs, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
-    slack = F.element_at(F.create_map(*[x for m, s in METRICS.items() for x in (F.lit(m), F.lit(float(s)))]), F.col("o.metric"))
-    joined = joined.select(F.col("o.lang"), F.col("o.source"), F.col("o.metric"), pick("q25").alias("q25"), pick("q75").alias("q75"), slack.alias("slack"))
-    width = (F.col("q75") - F.col("q25")) * F.lit(spread) + F.col("slack")
-    cut = joined.select("lang", "source", "metric", (F.col("q25") - width).alias("low"), (F.col("q75") + width).alias("high"))
+    every = merged(sketch, [])
+    lang = blended(merged(sketch, ["lang"]), every, [], prior)
+    own = blended(merged(sketch, ["lang", "source"]), lang, ["lang"], prior)
+    o = quantiles(own, {"q25": 25, "q50": 50, "q75": 75, "q99": 99}).alias("o")
+    skew = quantiles(lang, {"q50": 50}).select("lang", "metric", F.abs(F.col("mean") - F.col("q50")).alias("skew")).alias("l")
+    joined = o.join(skew, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.metric") == F.col("l.metric"))).select("o.*", "l.skew")
+    width = F.greatest((F.col("q75") - F.col("q25")) * spread, F.col("skew"))
+    tail = F.when(F.col("metric").isin(*TAILED), F.col("q99") * 2 - F.col("q50")).otherwise(F.col("q75"))
+    cut = joined.select("lang", "source", "metric", (F.col("q25") - width).alias("low"), F.greatest(F.col("q75") + width, tail).alias("high"))
     of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
     return cut.groupBy("lang", "source").agg(*[of(m, c) for m in METRICS for c in ("low", "high")])
 

@@ -160,28 +160,33 @@ long AS (
   UNPIVOT (SELECT lang, source, symbol_rate, repeat_rate, capital_rate, line_rate, word_length FROM measured WHERE NOT base_failed)
   ON symbol_rate, repeat_rate, capital_rate, line_rate, word_length INTO NAME metric VALUE value),
 cells AS (
-  SELECT lang, source, metric, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket, count(*) AS n
+  SELECT lang, source, metric, (value >> greatest(length(bin(value)) - 8, 0)) << greatest(length(bin(value)) - 8, 0) AS bucket, count(*) AS n
   FROM long GROUP BY ALL),
-levels AS (
-  SELECT 0 AS level, lang, source, metric, bucket, n FROM cells
-  UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM cells GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM cells GROUP BY ALL),
-running AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS c,
-         sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM levels),
-quart AS (
-  SELECT level, lang, source, metric, min(bucket) FILTER (c * 100 >= total * 25) AS q25, min(bucket) FILTER (c * 100 >= total * 75) AS q75,
-         max(total) AS docs FROM running GROUP BY level, lang, source, metric),
-picked AS (
-  SELECT o.lang, o.source, o.metric,
-         CASE WHEN o.docs >= 100 THEN o.q25 WHEN l.docs >= 100 THEN l.q25 ELSE a.q25 END AS q25,
-         CASE WHEN o.docs >= 100 THEN o.q75 WHEN l.docs >= 100 THEN l.q75 ELSE a.q75 END AS q75
-  FROM quart o JOIN quart l ON l.level = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric
-  JOIN quart a ON a.level = 2 AND o.metric = a.metric WHERE o.level = 0),
-slack AS (SELECT * FROM (VALUES ('symbol_rate', 120), ('repeat_rate', 250), ('capital_rate', 150), ('line_rate', 350), ('word_length', 80)) AS s(metric, slack)),
+every AS (SELECT metric, bucket, sum(n)::BIGINT * 1000000 AS w FROM cells GROUP BY ALL),
+every_share AS (SELECT metric, bucket, w // (sum(w) OVER (PARTITION BY metric)::BIGINT // 1000000) * 100 AS w FROM every),
+own_lang AS (SELECT lang, metric, bucket, sum(n)::BIGINT * 1000000 AS w FROM cells GROUP BY ALL),
+lang AS (
+  SELECT lang, metric, bucket, sum(w)::BIGINT AS w FROM (
+    FROM own_lang UNION ALL SELECT g.lang, x.metric, x.bucket, x.w FROM (SELECT DISTINCT lang, metric FROM own_lang) g JOIN every_share x USING (metric)) GROUP BY ALL),
+lang_share AS (SELECT lang, metric, bucket, w // (sum(w) OVER (PARTITION BY lang, metric)::BIGINT // 1000000) * 100 AS w FROM lang),
+own AS (
+  SELECT lang, source, metric, bucket, sum(w)::BIGINT AS w FROM (
+    SELECT lang, source, metric, bucket, n * 1000000 AS w FROM cells
+    UNION ALL SELECT g.lang, g.source, x.metric, x.bucket, x.w FROM (SELECT DISTINCT lang, source, metric FROM cells) g
+      JOIN lang_share x ON x.metric = g.metric AND x.lang IS NOT DISTINCT FROM g.lang) GROUP BY ALL),
+run_own AS (
+  SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket)::BIGINT AS c, sum(w) OVER (PARTITION BY lang, source, metric)::BIGINT AS total FROM own),
+run_lang AS (SELECT *, sum(w) OVER (PARTITION BY lang, metric ORDER BY bucket)::BIGINT AS c, sum(w) OVER (PARTITION BY lang, metric)::BIGINT AS total FROM lang),
+q AS (
+  SELECT lang, source, metric, min(bucket) FILTER (c >= total // 100 * 25 + total % 100 * 25 // 100) AS q25, min(bucket) FILTER (c >= total // 100 * 50 + total % 100 * 50 // 100) AS q50,
+         min(bucket) FILTER (c >= total // 100 * 75 + total % 100 * 75 // 100) AS q75, min(bucket) FILTER (c >= total // 100 * 99 + total % 100 * 99 // 100) AS q99
+  FROM run_own GROUP BY lang, source, metric),
+skew AS (
+  SELECT lang, metric, abs((sum(bucket::HUGEINT * w) // max(total))::BIGINT - min(bucket) FILTER (c >= total // 100 * 50 + total % 100 * 50 // 100)) AS skew FROM run_lang GROUP BY lang, metric),
 cut AS (
-  SELECT lang, source, p.metric, q25 - (3 * (q75 - q25) + slack) AS low, q75 + (3 * (q75 - q25) + slack) AS high
-  FROM picked p JOIN slack s ON p.metric = s.metric),
+  SELECT q.lang, q.source, q.metric, q25 - greatest(3 * (q75 - q25), skew) AS low,
+         greatest(q75 + greatest(3 * (q75 - q25), skew), CASE WHEN q.metric IN ('repeat_rate', 'capital_rate', 'line_rate') THEN 2 * q99 - q50 ELSE q75 END) AS high
+  FROM q JOIN skew k ON q.metric = k.metric AND q.lang IS NOT DISTINCT FROM k.lang),
 outside AS (
   SELECT DISTINCT m.doc_id FROM measured m JOIN cut c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source
   WHERE CASE c.metric WHEN 'symbol_rate' THEN symbol_rate WHEN 'repeat_rate' THEN repeat_rate WHEN 'capital_rate' THEN capital_rate
