@@ -14,10 +14,13 @@ Merges never cross a final boundary, so what follows one is encoded on its own.
 transducer keeps the symbols after the last emitted token; once they are more than the
 longest token plus the lookahead, the tokens that end at least the lookahead before the
 end of the buffer are emitted. The buffer never exceeds a constant, however long the
-input is. Results for short pre-tokens are kept in a bounded memo, which is a cache of the transducer's own results.
+input is. Every pre-token goes through it; what it gave for short ones is kept in a
+bounded memo. Texts are encoded stretch by stretch, cut at white space, so beside the text
+and the normal form of a stretch memory is constant.
 
-Decoding feeds the bytes of one token after the other to a UTF-8 state machine, which
-gives out characters as soon as they are complete and U+FFFD for what cannot be one.
+Decoding takes the ids in the order in which they come and feeds their bytes to one UTF-8
+state machine per text, which gives out characters as soon as they are complete and U+FFFD
+for what cannot be one. Whole characters within a feed are taken in one step.
 
 Defined cases: a null or empty text has no tokens, the digest of the empty string and an
 empty decoded text; repeated rows give repeated results; a null doc_id passes through; an
@@ -30,16 +33,19 @@ import heapq
 from collections.abc import Iterable, Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rankloom.llm.textops import mapped, per_batch, sole_memo
-from rankloom.llm.wordbpe import Vocabulary, byte_symbols, pre_tokens, vocabulary
+from rankloom.llm.wordbpe import Vocabulary, byte_symbols, each_pre_token, pre_tokens, stretches, vocabulary
 
 #: Symbols that the buffer takes beyond its least size, to emit many tokens at once.
 SLACK = 2048
+#: Characters that are normalised and split at once.
+STRETCH = 1 << 14
 MEMO_WORDS = 150_000
 MEMO_SYMBOLS = 48
 
@@ -160,6 +166,16 @@ class Transducer:
         return out
 
 
+def _open_tail(data: bytes) -> int:
+    """How many bytes at the end may be the start of a character that goes on."""
+    for back, b in enumerate(reversed(data[-3:]), 1):
+        if b >= 0xC0:
+            return back if back < (2 if b < 0xE0 else 3 if b < 0xF0 else 4) else 0
+        if b < 0x80:
+            return 0
+    return 0
+
+
 class ByteTextDecoder:
     """UTF-8 bytes to text, incrementally: the bytes still wanted, the code point so far and its least value."""
 
@@ -167,9 +183,18 @@ class ByteTextDecoder:
         self.wanted, self.point, self.low, self.high = 0, 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
-        if not self.wanted and data.isascii():
-            return data.decode("ascii")
         out = []
+        if not self.wanted:
+            cut = len(data) - _open_tail(data)
+            try:
+                whole = data[:cut].decode()
+            except UnicodeDecodeError:  # something that is no character: byte by byte
+                pass
+            else:
+                if cut == len(data):
+                    return whole
+                out.append(whole)
+                data = data[cut:]
         for b in data:
             if self.wanted:
                 if self.low <= b <= self.high:
@@ -213,52 +238,50 @@ class Decoder:
             body = t[: len(t) - len(v.suffix)] if ends else t
             self.plain[i] = t.encode() if i in special else bytes(byte_of[c] for c in body) + b" " * ends
 
-    def strings(self, ids: Iterable[int]) -> Iterator[str]:
+    def strings(self, runs: Iterable[list[int]]) -> Iterator[str]:
+        """The file's form of a sequence of ids that comes in runs."""
         machine, first = ByteTextDecoder(), True
-        for i in ids:
-            yield machine.feed(self.shown[i] if first else b" " + self.shown[i])
-            first = False
+        for ids in runs:
+            if ids:
+                yield machine.feed((b"" if first else b" ") + b" ".join(map(self.shown.__getitem__, ids)))
+                first = False
         yield machine.finish()
 
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
+    def text(self, runs: Iterable[list[int]]) -> Iterator[str]:
         machine = ByteTextDecoder()
-        for i in ids:
-            yield machine.feed(self.plain[i])
+        for ids in runs:
+            yield machine.feed(b"".join(map(self.plain.__getitem__, ids)))
         yield machine.finish()
 
 
 class _Ids(dict):
-    """Pre-token -> its ids as text, filled by the transducer; ``shown`` has the decoded strings.
+    """Pre-token -> its ids, as the transducer gave them.
 
     Two generations of at most MEMO_WORDS each: when the young one is full it becomes the
     old one, and what is asked for again is taken over from there.
     """
 
     def __init__(self, codec: Codec):
-        self.codec, self.shown, self.old, self.old_shown = codec, {}, {}, {}
+        self.codec, self.old = codec, {}
 
-    def __missing__(self, word: str) -> str:
-        text = self.old.get(word)
-        if text is None:
-            ids = self.codec.encode_word(word)
-            text = " ".join(map(str, ids))
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = tuple(self.codec.encode_word(word))
             if len(word) > MEMO_SYMBOLS:
-                return text
-            shown = "".join(self.codec.decoder.strings(ids))
-        else:
-            shown = self.old_shown[word]
-        self[word], self.shown[word] = text, shown
-        return text
+                return ids
+        self[word] = ids
+        return ids
 
     def forget(self) -> None:
         self.clear()
-        self.shown, self.old, self.old_shown = {}, {}, {}
+        self.old = {}
 
     def turn(self) -> None:
         """Called between texts."""
         sole_memo(self, self.forget)
         if len(self) >= MEMO_WORDS:
-            self.old, self.old_shown, self.shown = dict(self), self.shown, {}
+            self.old = dict(self)
             self.clear()
 
 
@@ -269,38 +292,54 @@ class Codec:
         self.vocabulary = vocabulary(path)
         self.table = MergeTable(self.vocabulary)
         self.decoder = Decoder(self.vocabulary)
+        self.transducer = Transducer(self.table)
+        self.names = {i: str(i) for i in self.vocabulary.tokens}
         self.memo = _Ids(self)
 
     def encode_word(self, word: str) -> list[int]:
-        data = word.encode("utf-8", "replace")
-        if len(data) <= MEMO_SYMBOLS:  # shorter than the buffer: the transducer would hold all of it
-            return self.table.merged([*map(self.table.inner.__getitem__, data[:-1]), self.table.last[data[-1]]])
-        t = Transducer(self.table)
-        return t.feed(data) + t.finish()
+        return self.transducer.feed(word.encode("utf-8", "replace")) + self.transducer.finish()
 
-    def encode(self, text: str | None) -> np.ndarray:
-        ids, _ = self.forms(text)
-        return np.fromstring(ids, dtype=np.int32, sep=" ")
+    def _long(self, words: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of words of any length, the longest ones given out while they are read."""
+        for word in words:
+            if len(word) <= STRETCH:
+                yield list(self.memo[word])
+                continue
+            for at in range(0, len(word), STRETCH):
+                yield self.transducer.feed(word[at : at + STRETCH].encode("utf-8", "replace"))
+            yield self.transducer.finish()
 
-    def forms(self, text: str | None) -> tuple[str, str]:
-        """The ids in decimal parted by blanks, and the decoded text, both piece by piece from the memo."""
+    def runs(self, text: str | None) -> Iterator[list[int]]:
+        """The ids of a text in runs of bounded length."""
         self.memo.turn()
-        ids: list[str] = []
-        shown: list[str] = []
         for part, special in self.vocabulary.segments(text or ""):
             if special:
-                ids.append(str(self.vocabulary.special[part]))
-                shown.append("".join(self.decoder.strings([self.vocabulary.special[part]])))
+                yield [self.vocabulary.special[part]]
                 continue
-            words = pre_tokens(part)
-            found = [*map(self.memo.__getitem__, words)]
-            ids += found
-            decoded = self.memo.shown
-            try:
-                shown += [*map(decoded.__getitem__, words)]
-            except KeyError:  # words that the memo does not take
-                shown += [decoded[w] if w in decoded else "".join(self.decoder.strings(map(int, i.split(" ")))) for w, i in zip(words, found)]
-        return " ".join(ids), " ".join(shown)
+            for stretch in stretches(part, STRETCH):
+                if len(stretch) <= STRETCH:
+                    yield [*chain.from_iterable(map(self.memo.__getitem__, pre_tokens(stretch)))]
+                else:  # no white space for long
+                    yield from self._long(each_pre_token(stretch))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(self.runs(text)), dtype=np.int32)
+
+    def digests(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids, digest of the ids in decimal parted by blanks, digest of the decoded text."""
+        n, ids, shown = 0, sha256(), sha256()
+
+        def counted() -> Iterator[list[int]]:
+            nonlocal n
+            for run in self.runs(text):
+                if run:
+                    ids.update(((" " if n else "") + " ".join(map(self.names.__getitem__, run))).encode())
+                    n += len(run)
+                yield run
+
+        for piece in self.decoder.strings(counted()):
+            shown.update(piece.encode())
+        return n, ids.hexdigest(), shown.hexdigest()
 
 
 @cache
@@ -314,10 +353,7 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
-        rows = []
-        for text in batch.column(1).to_pylist():
-            ids, shown = c.forms(text)
-            rows.append((ids.count(" ") + 1 if ids else 0, sha256(ids.encode()).hexdigest(), sha256(shown.encode()).hexdigest()))
+        rows = [*map(c.digests, batch.column(1).to_pylist())]
         n, a, b = zip(*rows) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -331,7 +367,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
         ids = [c.encode(t) for t in batch.column(1).to_pylist()]
-        texts = ["".join(c.decoder.text(i.tolist())) for i in ids]
+        texts = ["".join(c.decoder.text([i.tolist()])) for i in ids]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     kind = dict(docs.dtypes)["doc_id"]

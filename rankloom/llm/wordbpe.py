@@ -8,8 +8,10 @@ whose words end in a suffix. Control strings of the file are found in the raw te
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import regex
@@ -22,6 +24,7 @@ WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ASCII = re.compile(rf"[a-z]+|[0-9]|{CONTRACTIONS}|[^\sa-z0-9]+", re.ASCII)
 _LATIN = re.compile(rf"[a-zß-öø-ÿ]+|[0-9]|{CONTRACTIONS}|[^\sa-zß-öø-ÿ0-9]+", re.ASCII)
 _OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+_BLANK = re.compile("[ \n]")
 _ANY = regex.compile(rf"\p{{L}}+|\p{{N}}|{CONTRACTIONS}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
 
@@ -37,13 +40,80 @@ def pre_tokens(text: str) -> list[str]:
     """Pre-tokens of a text without control strings.
 
     Lower case is taken character by character (no final sigma). Texts of ASCII or plain
-    Latin-1 letters are in NFC already and use a narrower pattern with equal results.
+    Latin-1 letters are in NFC already and use a narrower pattern with equal results. Where
+    a character's class, lower case or normal form is not the same here and in the
+    tokenizers library (they know different versions of Unicode) the library splits the text.
     """
+    pattern, normal = _split_by(text)
+    return pattern.findall(normal) if pattern else _library_split(text)
+
+
+def each_pre_token(text: str) -> Iterator[str]:
+    """``pre_tokens`` one at a time."""
+    pattern, normal = _split_by(text)
+    return (m.group() for m in pattern.finditer(normal)) if pattern else iter(_library_split(text))
+
+
+def _split_by(text: str) -> tuple:
     if text.isascii():
-        return _ASCII.findall(text.lower())
+        return _ASCII, text.lower()
     if not _OTHER.search(text):
-        return _LATIN.findall(text.lower())
-    return _ANY.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return _LATIN, text.lower()
+    return (None, text) if _odd(text) else (_ANY, _normal(text))
+
+
+def _normal(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+@cache
+def _library() -> tuple:
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    pattern = rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+"
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]), pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+
+def _library_split(text: str) -> list[str]:
+    normaliser, split = _library()
+    return [w for w, _ in split.pre_tokenize_str(normaliser.normalize_str(text))]
+
+
+#: Characters that have been compared with the library, and those in which it differs.
+_compared: set[str] = set()
+_differing: set[str] = set()
+
+
+def _odd(text: str) -> bool:
+    """Whether the text has a character that the library treats in another way; each character is compared once."""
+    new = set(text) - _compared
+    if new:
+        for c in new:
+            sample = f"a{c}1{c}{c}!"
+            if unicodedata.category(c) == "Cn" or _library_split(sample) != _ANY.findall(_normal(sample)):
+                _differing.add(c)
+        _compared.update(new)
+    return not _differing.isdisjoint(text)
+
+
+def stretches(text: str, size: int) -> Iterator[str]:
+    """The text in parts of at most ``size`` characters that start at white space; longer where there is none.
+
+    Normalisation and the split do not look across the place before a blank or a newline.
+    """
+    if len(text) <= size:
+        yield text
+        return
+    at = 0
+    while len(text) - at > size:
+        cut = max(text.rfind(" ", at + 1, at + size), text.rfind("\n", at + 1, at + size))
+        if cut < 0:
+            found = _BLANK.search(text, at + size)
+            cut = found.start() if found else len(text)
+        yield text[at:cut]
+        at = cut
+    if at < len(text):
+        yield text[at:]
 
 
 class Vocabulary:
@@ -61,10 +131,11 @@ class Vocabulary:
         self.size = max(self.tokens) + 1
         strings = sorted(self.special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
+        self._start = os.path.commonprefix(strings)
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at control strings: (part, whether it is one)."""
-        if self._special is None or "<|" not in text:
+        if self._special is None or self._start not in text:
             return [(text, False)]
         return [(part, i % 2 == 1) for i, part in enumerate(self._special.split(text)) if part]
 

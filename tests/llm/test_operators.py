@@ -400,7 +400,61 @@ def test_encoding_and_decoding_equal_the_library(awkward, sf_dir):
     for t in [x for _, x in texts(sf_dir)] + [r[1] or "" for r in AWKWARD] + odd + ["<|endoftext|>a<|startoftext|>", "ha" * 9000, "!?" * 5000]:
         ids = library.encode(t, add_special_tokens=False).ids
         assert codec.encode(t).tolist() == ids
-        assert codec.forms(t) == (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert codec.digests(t) == (len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_every_pre_token_goes_through_the_transducer_in_bounded_runs(monkeypatch):
+    codec = bpe.Codec(TOKENIZER)
+    fed, most, real = [], [0], bpe.Transducer.feed
+
+    def feed(self, piece):
+        fed.append(piece)
+        out = real(self, piece)
+        most[0] = max(most[0], len(self.buffer))
+        return out
+
+    monkeypatch.setattr(bpe.Transducer, "feed", feed)
+    text = "Some words, some WORDS again <|endoftext|> and 12 é " + "long" * 50_000 + " end " * 20_000
+    sizes = [len(run) for run in codec.runs(text)]
+    words = bpe.pre_tokens("Some words, some WORDS again  and 12 é  end ")
+    assert {w.encode() for w in words} <= set(fed) and b"".join(x for x in fed if set(x) <= set(b"long")).count(b"long") == 50_000
+    assert max(sizes) <= 2 * bpe.STRETCH and most[0] <= codec.transducer.least + 2 * bpe.SLACK
+    from tokenizers import Tokenizer
+
+    assert codec.encode(text).tolist() == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+
+
+def test_the_split_of_every_code_point_is_the_librarys():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 20_000):
+        text = " ".join(f"a{c}1{c}{c}!" for c in every[at : at + 20_000])
+        normal = library.normalizer.normalize_str(text)
+        assert bpe.pre_tokens(text) == [x for x, _ in split_of(library, normal)], at
+
+
+def split_of(library, normal):
+    """The library's pre-tokens before they are written in byte symbols."""
+    from tokenizers import Regex, pre_tokenizers
+    import json
+
+    spec = json.loads(library.to_str())["pre_tokenizer"]
+    parts = spec["pretokenizers"] if spec["type"] == "Sequence" else [spec]
+    first = next(p for p in parts if p["type"] == "Split")
+    pattern = first["pattern"].get("Regex") or first["pattern"]["String"]
+    return pre_tokenizers.Split(Regex(pattern), first["behavior"].lower(), invert=first["invert"]).pre_tokenize_str(normal)
+
+
+def test_stretches_are_cut_before_white_space_only():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("ab é\n\t́'s3") for _ in range(rng.randint(0, 80)))
+        parts = [*bpe.stretches(text, 7)]
+        assert "".join(parts) == text and all(x[0] in " \n" for x in parts[1:])
+        assert [w for x in parts for w in bpe.pre_tokens(x)] == bpe.pre_tokens(text) == [*bpe.each_pre_token(text)]
 
 
 class Toy:
@@ -442,9 +496,9 @@ def test_decoder_gives_characters_as_soon_as_they_are_whole():
     rng = random.Random(10)
     for _ in range(3000):
         data = bytes(rng.choice([0x41, 0x80, 0xBF, 0xC3, 0xE0, 0xA0, 0xED, 0x9F, 0xF0, 0x90, 0xF4, 0x8F, 0xFF, 0xC1]) for _ in range(rng.randint(0, 8)))
-        m = bpe.ByteTextDecoder()
-        assert m.feed(data) + m.finish() == data.decode("utf-8", "replace")
-    assert "".join(bpe.codec(TOKENIZER).decoder.text(bpe.codec(TOKENIZER).encode("héllo wörld").tolist())) == "héllo wörld "
+        m, cut = bpe.ByteTextDecoder(), rng.randint(0, len(data))
+        assert m.feed(data[:cut]) + m.feed(data[cut:]) + m.finish() == data.decode("utf-8", "replace")
+    assert "".join(bpe.codec(TOKENIZER).decoder.text(bpe.codec(TOKENIZER).runs("héllo wörld"))) == "héllo wörld "
 
 
 # ---- chat ------------------------------------------------------------------------------
