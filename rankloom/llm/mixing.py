@@ -11,12 +11,15 @@ level fixes the level of all that follow.
 A target of r times the source's words takes every document floor(r) whole times and a
 seeded part of the documents once more: documents in the order of a seeded hash until
 the fraction is filled. The order is never sorted as a whole: hash buckets are summed
-first, and only the one bucket per source in which the fraction ends is ordered.
+first, and only the one bucket per source in which the fraction ends is ordered, one row
+for each distinct key. Where the fraction ends among rows of one key (repeated rows), as
+many of them as fit are taken: those rows are stored, numbered by file and row, and the
+same two steps (sums of hash buckets, then one bucket) find which.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a
-source of its own, last in order; repeated rows count as documents of their own and
-ties in the hash order are broken by doc_id and size (rows equal in all of these share
-one decision); an empty table gives no rows; other columns are ignored.
+source of its own, last in order; repeated rows count as documents of their own, each with
+a decision of its own; texts of any length are counted whole; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,10 +68,11 @@ def hash_key(doc_id: Column, seed: int) -> Column:
 
 
 def source_cuts(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per source: source, source_size, target, whole, cut (struct of h and size).
+    """One row per source: source, source_size, target, whole, cut (struct of h and size), part, fit.
 
     ``docs`` has doc_id, source and size and should be stored, as it is read twice. A
     document is taken ``whole`` times, and once more if its (h, size) is not above ``cut``.
+    With ``part`` only ``fit`` of the rows whose key is ``cut`` are.
     """
     docs = docs.select("source", "size", hash_key(F.col("doc_id"), seed).alias("h")).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     cells = docs.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size"))
@@ -84,11 +88,18 @@ def source_cuts(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_ep
     edge = edge.select("source", "source_size", "target", "whole", "need", "edge.bucket", "edge.base").alias("e")
     d = docs.alias("d")
     inside = d.join(edge, (F.col("d.bucket") == F.col("e.bucket")) & F.col("d.source").eqNullSafe(F.col("e.source"))).select("d.source", "d.size", "d.h", "e.base", "e.need")
+    keys = inside.groupBy("source", "h", "size", "base", "need").agg(F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy("source").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("ahead", F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = inside.where(2 * F.col("ahead") + F.col("size") <= 2 * F.col("need")).groupBy("source").agg(F.max(F.struct("h", "size")).alias("cut")).alias("l")
+    keys = keys.withColumn("ahead", F.col("base") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order), F.lit(0)))
+    # of equal rows those are taken whose middle lies before the end of the fraction
+    fit = F.floor((F.col("need") - F.col("ahead") - F.col("size") / 2) / F.col("size")) + 1
+    fit = F.when(F.col("size") == 0, F.when(F.col("ahead") <= F.col("need"), F.col("copies")).otherwise(F.lit(0))).otherwise(F.least(F.col("copies"), F.greatest(fit, F.lit(0))))
+    keys = keys.withColumn("fit", fit.cast("long")).where("fit > 0")
+    last = keys.groupBy("source").agg(F.max(F.struct("h", "size", "copies", "fit")).alias("l")).alias("l")
+    none = F.struct(F.col("e.bucket").alias("h"), F.lit(-1).cast("long").alias("size"))
+    cut = F.when(F.col("l.l").isNull(), none).otherwise(F.struct(F.col("l.l.h").alias("h"), F.col("l.l.size").alias("size")))
     return edge.join(last, F.col("e.source").eqNullSafe(F.col("l.source")), "left").select(
-        "e.source", "e.source_size", "e.target", "e.whole", F.coalesce("l.cut", F.struct(F.col("e.bucket").alias("h"), F.lit(-1).cast("long").alias("size"))).alias("cut")
+        "e.source", "e.source_size", "e.target", "e.whole", cut.alias("cut"), F.coalesce(F.col("l.l.copies") > F.col("l.l.fit"), F.lit(False)).alias("part"), F.coalesce("l.l.fit", F.lit(0)).alias("fit")
     )
 
 
@@ -97,16 +108,54 @@ def repeats(doc_id: Column, size: Column, whole: Column, cut: Column, seed: int
     return whole + extra.cast("long")
 
 
+def at_cut(doc_id: Column, size: Column, cut: Column, part: Column, seed: int = SEED) -> Column:
+    """Whether a row has the key among whose rows the fraction of its source ends."""
+    return part & (F.struct(hash_key(doc_id, seed).alias("h"), size.alias("size")) == cut)
+
+
+def numbered_part(rows: DataFrame) -> DataFrame:
+    """Stored ``rows`` (s_source, fit, whole and others) with the column times: ``fit`` of each source's are taken once more.
+
+    Rows are told apart by file and place in the file. A source's rows are counted in
+    hash buckets first, and only the bucket in which the number ends is ordered.
+    """
+    place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    rows = rows.select("*", F.md5(place).alias("place")).withColumn("cell", F.substring("place", 1, BUCKET_DIGITS))
+    cells = rows.groupBy("s_source", "fit", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("s_source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    edge = cells.where((F.col("base") < F.col("fit")) & (F.col("base") + F.col("n") >= F.col("fit"))).select("s_source", "cell", (F.col("fit") - F.col("base")).alias("room")).alias("e")
+    inside = rows.alias("r").join(edge, F.col("r.s_source").eqNullSafe(F.col("e.s_source")) & (F.col("r.cell") == F.col("e.cell"))).select("r.s_source", "r.place", "e.room")
+    nth = F.row_number().over(Window.partitionBy("s_source").orderBy("place"))
+    ends = inside.withColumn("nth", nth).where("nth = room").select("s_source", F.col("place").alias("end")).alias("e")
+    joined = rows.alias("r").join(ends, F.col("r.s_source").eqNullSafe(F.col("e.s_source")), "left")
+    return joined.select("r.*", (F.col("r.whole") + F.coalesce(F.col("r.place") <= F.col("e.end"), F.lit(False)).cast("long")).alias("times")).drop("place", "cell")
+
+
+def with_times(docs: DataFrame, size: Column, cuts: DataFrame, seed: int) -> DataFrame:
+    """row (all columns of ``docs``), source_size, target, times. Rows at a partly taken key are stored and numbered."""
+    d, c = docs.alias("d"), cuts.alias("s")
+    joined = d.join(c, F.col("d.source").eqNullSafe(F.col("s.source")))
+    parted = cuts.where("part").limit(1).count() > 0
+    tied = at_cut(F.col("d.doc_id"), size, F.col("s.cut"), F.col("s.part"), seed)
+    sure = joined.where(~tied) if parted else joined
+    out = sure.select(F.struct("d.*").alias("row"), "s.source_size", "s.target", repeats(F.col("d.doc_id"), size, F.col("s.whole"), F.col("s.cut"), seed).alias("times"))
+    if not parted:
+        return out
+    rows = written(joined.where(tied).select(F.struct("d.*").alias("row"), "s.source_size", "s.target", F.col("s.source").alias("s_source"), "s.whole", "s.fit"), "mix-tied")
+    return out.unionByName(numbered_part(rows).select("row", "source_size", "target", "times"))
+
+
 def mix_plan(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, repeats. ``docs`` has doc_id, source, size.
 
     The join carries one row per source. That table is stored first, so that Spark knows
     its size: it is broadcast while small, and beyond that a hot source is split.
     """
-    cuts = written(source_cuts(docs, seed=seed, **options), "mix-cuts").alias("s")
-    d = docs.select("doc_id", "source", "size").alias("d")
-    joined = d.join(cuts, F.col("d.source").eqNullSafe(F.col("s.source")))
-    return joined.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", repeats(F.col("d.doc_id"), F.col("d.size"), F.col("s.whole"), F.col("s.cut"), seed).alias("repeats"))
+    narrow_docs = docs.select("doc_id", "source", "size")
+    cuts = written(source_cuts(narrow_docs, seed=seed, **options), "mix-cuts")
+    timed = with_times(narrow_docs, F.col("d.size"), cuts, seed)
+    return timed.select("row.doc_id", "row.source", "row.size", "source_size", "target", F.col("times").alias("repeats"))
 
 
 def narrow(docs: DataFrame) -> DataFrame:
@@ -119,9 +168,6 @@ def mix_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 
     Rows whose repeat count is 0 leave; the columns are those of ``docs``.
     """
-    cuts = written(source_cuts(narrow(docs), seed=seed, **options), "mix-cuts").alias("s")
-    d = docs.alias("d")
-    times = repeats(F.col("d.doc_id"), word_count(F.col("d.text")), F.col("s.whole"), F.col("s.cut"), seed)
-    joined = d.join(cuts, F.col("d.source").eqNullSafe(F.col("s.source"))).select(F.struct("d.*").alias("row"), times.alias("times"))
-    taken = joined.where(F.col("times") > 0).select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("copy"))
-    return taken.select("row.*")
+    cuts = written(source_cuts(narrow(docs), seed=seed, **options), "mix-cuts")
+    timed = with_times(docs, word_count(F.col("d.text")), cuts, seed).where("times > 0")
+    return timed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*")

@@ -142,6 +142,28 @@ def test_targets_equal_iterated_filling_and_taken_words_come_near(spark):
     assert max(r.repeats for r in got) <= 2 and len(got) == 4000
 
 
+def test_equal_rows_are_decided_one_by_one(spark):
+    rows = [(1, "a b c", "s")] * 1000 + [(2, "x", "t")] * 10 + [(None, "q r", None)] * 7 + [(3, "", "s")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(mixing.narrow(docs)).collect()
+    assert len(plan) == len(rows)
+    for s in ("s", "t", None):
+        own = [r for r in plan if r.source == s]
+        assert abs(sum(r.repeats * r["size"] for r in own) - own[0].target) <= max(r["size"] for r in own)
+        assert len({r.repeats for r in own if r["size"]}) <= 2 >= max(r.repeats for r in own)
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sorted((r.source or "", len((r.text or "").split())) for r in mixed.collect() if r.text) == sorted((r.source or "", r["size"]) for r in plan for _ in range(r.repeats) if r["size"])
+
+
+def test_equal_rows_by_the_sql(spark, tmp_path):
+    rows = [(i % 7, "w " * (i % 7 % 4 + 1), "ab"[i % 7 % 2]) for i in range(700)] + [(99, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert_same(queries.op2_mix_sources(spark, str(tmp_path)).toPandas(), c.execute(queries.ORACLE_SQL["op2_mix_sources"]).df())
+
+
 def test_mix_repeats_rows(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
     assert abs(mixing.mix_documents(docs).count() - 300) <= 2
