@@ -20,19 +20,20 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents, revises every count, drops exact copies and moves the rest to a second
-    tokenizer version. Batches are replayed as after a failure, and the log is compacted on the way."""
-    rows = token_rollups.counts(table(spark, sf_dir, "documents"))
-    gone = token_rollups.copies(rows)
-    kept = rows.join(gone.select("doc_id", "copy_of"), ["doc_id", "copy_of"], "left_anti")
+    """Loads all documents with their word-BPE tokens, revises every count by the end id, drops exact copies and
+    counts the rest in a second tokenizer version. Batches come out of order and are replayed as after a failure,
+    and the log is compacted on the way."""
+    counted = token_rollups.counts(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
+    rows = token_rollups.with_copies(counted).withColumn("with_end", F.col("word_tokens") + 1)
+    kept = rows.where("not copy")
     batches = {
-        1: token_rollups.inserts(rows, "words", "words"),
-        2: token_rollups.revisions(rows, "words", "words", "pieces"),
-        3: token_rollups.deletes(gone, "words", "pieces"),
-        4: token_rollups.deletes(kept, "words", "pieces").union(token_rollups.inserts(kept, "pieces", "pieces")).union(token_rollups.inserts(kept, "words", "words")),
+        1: token_rollups.inserts(rows, "word_bpe_49k", "word_tokens"),
+        2: token_rollups.revisions(rows, "word_bpe_49k", "word_tokens", "with_end"),
+        3: token_rollups.deletes(rows.where("copy"), "word_bpe_49k", "with_end"),
+        4: token_rollups.inserts(kept, "byte_bpe_50k", "byte_tokens"),
     }
     rollup = token_rollups.Rollup(spark, new_path(spark, "rollup"))
-    for batch in (1, 2, 2, 3, 1, 4, 3, 4):
+    for batch in (1, 3, 3, 1, 2, 4, 2):
         rollup.commit(batch, batches[batch])
         if batch == 3:
             rollup.compact()
@@ -44,10 +45,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", F.col("size"), "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,17 +197,6 @@ SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM measured m LEFT JOIN outside o ON m.doc_id = o.doc_id
 """
 
-OP8_SQL = r"""
-WITH rows AS (
-  SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words,
-         coalesce(len(regexp_extract_all(text, '\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]+')), 0) AS pieces,
-         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
-kept AS (SELECT * FROM rows WHERE doc_id IS NULL OR doc_id = first)
-SELECT source, lang, 'words' AS version, count(*)::BIGINT AS docs, sum(words)::BIGINT AS tokens FROM kept GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'pieces', count(*)::BIGINT, sum(pieces)::BIGINT FROM kept GROUP BY source, lang
-"""
-
 OP10_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -230,6 +220,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.scan_sql(),
     "op2_mix_sources": OP2_SQL,
     "op7_quality_rules": OP7_SQL,
-    "op8_token_rollups": OP8_SQL,
     "op10_format_chat": OP10_SQL,
 }

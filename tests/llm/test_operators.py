@@ -394,15 +394,19 @@ def test_rules_keep_clean_documents():
 # ---- rollups ---------------------------------------------------------------------------
 
 
+def changes(spark, *rows):
+    return spark.createDataFrame(list(rows), token_rollups.SCHEMA)
+
+
 def test_batches_are_applied_once_and_survive_compaction(spark):
     rows = spark.createDataFrame([("a", "en", 5, 7), ("a", "en", 3, 3), (None, None, 2, 9), ("b", "de", None, 1)], "source string, lang string, n long, m long")
     r = token_rollups.Rollup(spark, new_path(spark, "rollup"))
-    assert r.totals().collect() == []
+    assert r.totals().collect() == [] and not r.compact()
     assert r.commit(1, token_rollups.inserts(rows, "v1", "n"))
     assert not r.commit(1, token_rollups.inserts(rows, "v1", "n"))
     assert r.commit(2, token_rollups.revisions(rows, "v1", "n", "m"))
     before = sorted(map(str, r.totals().collect()))
-    r.compact()
+    assert r.compact()
     assert r.committed() == [] and sorted(map(str, r.totals().collect())) == before
     assert not r.commit(2, token_rollups.inserts(rows, "v1", "n"))
     assert r.commit(3, token_rollups.deletes(rows.where("source = 'a'"), "v1", "m"))
@@ -410,6 +414,58 @@ def test_batches_are_applied_once_and_survive_compaction(spark):
     assert {(t.source, t.docs, t.tokens) for t in r.totals().collect()} == {(None, 1, 9), ("b", 1, 1)}
 
 
+def test_a_late_batch_is_applied_after_a_compaction(spark):
+    r = token_rollups.Rollup(spark, new_path(spark, "rollup"))
+    for batch in (1, 3):
+        assert r.commit(batch, changes(spark, ("s", "en", "v", 1, 10)))
+    assert r.compact()
+    assert r.commit(2, changes(spark, ("s", "en", "v", 1, 10))) and not r.commit(2, changes(spark, ("s", "en", "v", 1, 10)))
+    assert not r.commit(3, changes(spark, ("s", "en", "v", 1, 10)))
+    assert [(t.docs, t.tokens) for t in r.totals().collect()] == [(3, 30)]
+    assert r.compact() and r.committed() == [] and [t.docs for t in r.totals().collect()] == [3]
+
+
+def test_of_two_writers_of_one_batch_one_is_told_that_it_lost(spark, monkeypatch):
+    folder = new_path(spark, "rollup")
+    first, second = token_rollups.Rollup(spark, folder), token_rollups.Rollup(spark, folder)
+    real = token_rollups.Rollup._mark
+
+    def late(self, kind, name, content):
+        if self is first:  # the other writer lands between writing aside and the mark
+            assert second.commit(7, changes(spark, ("s", "en", "v", 1, 10)))
+        return real(self, kind, name, content)
+
+    monkeypatch.setattr(token_rollups.Rollup, "_mark", late)
+    assert not first.commit(7, changes(spark, ("s", "en", "v", 1, 10)))
+    assert [(t.docs, t.tokens) for t in first.totals().collect()] == [(1, 10)]
+
+
+def test_rollup_query_by_brute_force(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    words, plain = Tokenizer.from_file(TOKENIZER), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    want, seen = {}, set()
+    for source, lang, text in duckdb.execute(f"select source, lang, coalesce(text, '') from '{sf_dir}/documents.parquet' order by doc_id").fetchall():
+        if text in seen:
+            continue
+        seen.add(text)
+        for version, n in (("word_bpe_49k", len(words.encode(text, add_special_tokens=False).ids) + 1), ("byte_bpe_50k", len(plain.encode(text, add_special_tokens=False).ids))):
+            d, t = want.get((source, lang, version), (0, 0))
+            want[source, lang, version] = (d + 1, t + n)
+    got = {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in queries.op8_token_rollups(spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_counts_and_copies_of_awkward_rows(awkward, nothing):
+    paths = TOKENIZER, public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for hot in (1, 1000):
+        rows = token_rollups.with_copies(token_rollups.counts(awkward, *paths), hot).collect()
+        assert sorted((r.doc_id or 0, r.copy) for r in rows) == [(0, False), (1, False), (2, False), (3, True), (4, False), (5, True), (5, True), (6, False), (7, False)]
+        assert {r.doc_id: (r.word_tokens, r.byte_tokens) for r in rows}[2] == (0, 0)
+    assert token_rollups.with_copies(token_rollups.counts(nothing, *paths)).collect() == []
+
+
 # ---- BPE -------------------------------------------------------------------------------
 
 
