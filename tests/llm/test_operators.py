@@ -287,17 +287,47 @@ def test_likeness_is_that_of_the_paragraph_sets():
     rng = random.Random(6)
     pairs = []
     for _ in range(200):
-        a = {rng.getrandbits(64) for _ in range(rng.choice([0, 1, 10, 300]))}
-        b = {x for x in a if rng.random() < 0.7} | {rng.getrandbits(64) for _ in range(rng.choice([0, 2, 50]))}
+        a = {rng.getrandbits(48) for _ in range(rng.choice([0, 1, 10, 300]))}
+        b = {x for x in a if rng.random() < 0.7} | {rng.getrandbits(48) for _ in range(rng.choice([0, 2, 50]))}
         pairs.append((a, b))
     arrays = [[np.array(list(s), dtype=np.uint64) for s in side] for side in zip(*pairs)]
     for (x, y), (a, b) in zip(fingerprints.differences(*arrays), pairs):
         assert set(x.tolist()) == a - b and set(y.tolist()) == b - a
 
 
+def test_folding_is_sketching_at_the_smaller_size():
+    keys = np.array([random.Random(1).getrandbits(48) for _ in range(50)], dtype=np.uint64)
+    owner, sizes = np.zeros(50, np.int64), [np.array([n]) for n in (64, 8)]
+    large, small_ = (fingerprints.Sketches(n, keys, owner) for n in sizes)
+    f = fingerprints.folded(large, 8)
+    assert (f.count == small_.count).all() and ((f.sums ^ small_.sums) & np.uint64(fingerprints.MASK) == 0).all() and (f.checks == small_.checks).all()
+
+
+def test_published_strings_tell_every_difference():
+    rng = random.Random(12)
+    for n, m in ((0, 0), (0, 3), (1, 1), (5, 400), (300, 310), (40, 1)):
+        common = {rng.getrandbits(48) for _ in range(min(n, m) // 2)}
+        a = common | {rng.getrandbits(48) for _ in range(n - len(common))}
+        b = common | {rng.getrandbits(48) for _ in range(m - len(common))}
+        prints, _ = fingerprints.fingerprints_of([np.array(list(s), dtype=np.uint64) for s in (a, b)])
+        x, y = (fingerprints.base64.b64encode(p).decode() for p in prints)
+        only_a, only_b = fingerprints.fingerprint_differences(x, y)
+        assert set(only_a.tolist()) == a - b and set(only_b.tolist()) == b - a
+        assert fingerprints.fingerprint_likeness(x, y) == (len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def test_ids_may_be_strings(spark):
+    rows = [(f"k{i:03d}", f"text {i}\nline") for i in range(40)] + [(None, "last"), ("k007", "again")]
+    got = fingerprints.fingerprinted(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))
+    want = [(d, hashlib.sha256(fingerprints.edited_text(t, n).encode()).hexdigest()) for (d, t), (_, n) in zip(order, order[1:] + order[:1])]
+    assert sorted((r.doc_id or "", r.edited_sha256) for r in got) == sorted((d or "", x) for d, x in want)
+
+
 def test_fingerprints_of_all_documents(spark, sf_dir):
     got = {r.doc_id: r for r in fingerprints.fingerprinted(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
     rows = texts(sf_dir)
+    following = {d: e for (d, _), (e, _) in zip(rows, rows[1:] + rows[:1])}
     same = {}
     for (d, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
         half = len(t) // 2
@@ -305,6 +335,9 @@ def test_fingerprints_of_all_documents(spark, sf_dir):
         r = got[d]
         a, b, c = (set(fingerprints.digests(x)) for x in (t, edited, after))
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert set(fingerprints.listed(r.fingerprint).tolist()) == a and set(fingerprints.listed(r.edited_fingerprint).tolist()) == b
+        assert fingerprints.fingerprint_likeness(r.fingerprint, r.edited_fingerprint) == r.near_edited
+        assert fingerprints.fingerprint_likeness(r.fingerprint, got[following[d]].fingerprint) == r.near_next
         assert r.near_edited == pytest.approx(len(a & b) / len(a | b)) and r.near_next == pytest.approx(len(a & c) / len(a | c))
         assert same.setdefault(t, r.fingerprint) == r.fingerprint
     assert len(set(same.values())) == len(same)
