@@ -1,30 +1,30 @@
 """Quality classifier: supervised subword embeddings.
 
 Every word is the mean of learned vectors for its own hash and the hashes of its character
-n-grams; a document is the mean of its words. Adjacent words that repeat (the word equals
-the one 1, 2 or 3 before it) add a learned vector each, as word n-grams whose identity is
-the repetition. A softmax layer gives the class. All is trained by stochastic gradient
-descent in numpy on a bounded sample of labelled documents: at most ``per_class``
-documents for each label, in the order of a seeded hash, whole texts. Training rows are
-those whose crc32(doc_id as text) mod 4 is not 2; the rest is held out.
+n-grams, and every pair of neighbouring words has a learned vector for the hash of both; a
+document is the mean of its words and pairs. A softmax layer gives the class. All is
+trained by stochastic gradient descent in numpy on a bounded sample of labelled documents:
+at most ``per_class`` documents for each label, in the order of a seeded hash, whole
+texts. Training rows are those whose crc32(doc_id as text) mod 4 is not 2; the rest is
+held out.
 
 After training the two layers fold into one number per feature, so scoring is a table
-look-up per distinct word and a mean per document: no shuffle, constant memory.
+look-up per distinct word and per pair, and a mean per document: no shuffle, and beside
+the text and its words memory is constant.
 
 Defined cases: a null or empty text is scored by the bias alone; a document without a
 label is scored like any other; of several labels of one doc_id the smallest counts and
 null labels are ignored; null doc_ids are not held out and never trained on; with no
-labels at all every score is 0.5; repeated rows are scored alike; empty tables give no
+labels at all every score is 0.5; repeated rows are scored alike (of several texts of one
+doc_id the least is trained on); texts of any length are scored whole; empty tables give no
 rows; other columns are ignored (``keep_good`` returns them as they are).
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from functools import lru_cache
 from itertools import chain
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +38,11 @@ from rankloom.llm.textops import mapped, per_batch, sole_memo, words
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4)
-LAGS = (1, 2, 3)
+#: Pairs of words have 2 to this power vectors.
+PAIR_BITS = 17
 PER_CLASS = 1500
-EPOCHS = 4
-RATE = 0.2
+EPOCHS = 10
+RATE = 0.5
 SEED = 7
 THRESHOLD = 0.7
 MEMO_WORDS = 120_000
@@ -69,35 +70,36 @@ def features(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(owners)
 
 
-def repeats(tokens: list[bytes]) -> list[int]:
-    return [sum(map(eq, tokens, tokens[lag:])) for lag in LAGS]
+def pair_ids(hashes: np.ndarray) -> np.ndarray:
+    """Feature ids of the pairs of neighbouring words, from the words' hashes. Pairs have a table of their own behind that of words."""
+    if len(hashes) < 2:
+        return np.empty(0, dtype=np.int64)
+    h = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[1:]) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + BUCKETS
 
 
 class Model:
-    """Feature weights (both layers folded), weights of repeats, and the bias."""
+    """Feature weights (both layers folded): words and n-grams, then pairs; and the bias."""
 
-    def __init__(self, weights: np.ndarray, lag_weights: np.ndarray, bias: float):
-        self.weights, self.lag_weights, self.bias = weights.astype(np.float32), lag_weights.astype(np.float64), float(bias)
-        self.memo: dict[bytes, float] = {}
-        self.old: dict[bytes, float] = {}
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias = weights.astype(np.float32), float(bias)
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.word_weight, self.word_hash = np.empty(0), np.empty(0, dtype=np.uint64)
 
     def _learn(self, tokens: set[bytes]) -> None:
-        """Word weights are kept in two generations, so memory stays bounded and frequent words stay known."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo, self.old = {}, self.memo
-        new = []
-        for t in tokens - self.memo.keys():
-            if t in self.old:
-                self.memo[t] = self.old[t]
-            else:
-                new.append(t)
+        """Weight and hash of every new word; the memo starts anew when it is full, so memory stays bounded."""
+        if len(self.place) > MEMO_WORDS:
+            self.forget()
+        new = [t for t in tokens if t not in self.place]
         if new:
             ids, owner = features(new)
             sums = np.bincount(owner, weights=self.weights[ids], minlength=len(new))
-            self.memo.update(zip(new, (sums / np.bincount(owner, minlength=len(new))).tolist()))
-
-    def forget(self) -> None:
-        self.memo, self.old = {}, {}
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.word_weight = np.concatenate([self.word_weight, sums / np.bincount(owner, minlength=len(new))])
+            self.word_hash = np.concatenate([self.word_hash, np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))])
 
     def scores(self, texts: list[str | None]) -> list[float]:
         sole_memo(self, self.forget)
@@ -107,18 +109,20 @@ class Model:
         for tokens in split:
             z = self.bias
             if tokens:
-                again = repeats(tokens)
-                z += (math.fsum(map(self.memo.__getitem__, tokens)) + float(np.dot(again, self.lag_weights))) / (len(tokens) + sum(again))
+                at = np.fromiter(map(self.place.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+                pairs = pair_ids(self.word_hash[at])
+                # sums of a text's own numbers in its own order, whatever else is in the batch
+                z += (float(self.word_weight[at].sum()) + float(self.weights[pairs].astype(np.float64).sum())) / (len(tokens) + len(pairs))
             out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, z)))))
         return out
 
-    def packed(self) -> tuple[bytes, bytes, float]:
-        return self.weights.tobytes(), self.lag_weights.tobytes(), self.bias
+    def packed(self) -> tuple[bytes, float]:
+        return self.weights.tobytes(), self.bias
 
 
 @lru_cache(maxsize=1)
-def _loaded(weights: bytes, lag_weights: bytes, bias: float) -> Model:
-    return Model(np.frombuffer(weights, np.float32), np.frombuffer(lag_weights, np.float64), bias)
+def _loaded(weights: bytes, bias: float) -> Model:
+    return Model(np.frombuffer(weights, np.float32), bias)
 
 
 class _Bags:
@@ -135,23 +139,22 @@ class _Bags:
             sizes.append(np.bincount(owner, minlength=len(part)))
         self.flat = np.concatenate(flat)
         self.ends = np.cumsum(np.concatenate(sizes))
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, every), dtype=np.uint64, count=len(every))
 
     def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The feature ids of a document and their shares in its average."""
         tokens = words(text) if text else []
-        again = repeats(tokens)
-        size = max(1, len(tokens) + sum(again))
-        counts = Counter(tokens)
-        at = np.fromiter(map(self.number.__getitem__, counts), dtype=np.int64, count=len(counts))
-        n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        order = np.fromiter(map(self.number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        pairs = pair_ids(self.hashes[order])
+        size = max(1, len(tokens) + len(pairs))
+        at, n = np.unique(order, return_counts=True)
         starts = np.where(at > 0, self.ends[at - 1], 0) if len(at) else at
         lengths = self.ends[at] - starts
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        ids = np.concatenate([ids, np.arange(BUCKETS, BUCKETS + len(LAGS), dtype=np.int32)])
-        shares = np.concatenate([np.repeat(n / size / lengths, lengths), np.array(again) / size])
-        ids, back = np.unique(ids, return_inverse=True)
-        return ids, np.bincount(back, weights=shares).astype(np.float32)
+        shares = np.concatenate([np.repeat(n / size / lengths, lengths), np.full(len(pairs), 1 / size)])
+        ids, back = np.unique(np.concatenate([ids, pairs]), return_inverse=True)
+        return ids.astype(np.int32), np.bincount(back, weights=shares).astype(np.float32)
 
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
@@ -161,26 +164,33 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate:
     sum of squared shares, which makes the step independent of the document's length.
     """
     rng = np.random.default_rng(seed)
-    vectors = np.concatenate([rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), np.zeros((len(LAGS), DIM))])
+    vectors = np.concatenate([rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), np.zeros((1 << PAIR_BITS, DIM))]).astype(np.float32)
     out, bias = rng.uniform(-1 / DIM, 1 / DIM, (2, DIM)), np.zeros(2)
     sample = _Bags(texts)
     bags = [sample.bag(t) for t in texts]
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
-            ids, shares = bags[i]
-            hidden = shares @ vectors[ids]
-            z = out @ hidden + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
-            step = rate * (1 - done / steps)
+            sgd_step(vectors, out, bias, *bags[i], labels[i], rate * (1 - done / steps))
             done += 1
-            vectors[ids] -= step / max(float(shares @ shares), 1e-3) * np.outer(shares, out.T @ p)
-            out -= step * np.outer(p, hidden)
-            bias -= step * p
-    folded = vectors @ (out[1] - out[0])
-    return Model(folded[:BUCKETS], folded[BUCKETS:], bias[1] - bias[0])
+    return Model(vectors @ (out[1] - out[0]), bias[1] - bias[0])
+
+
+def forward(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, ids: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The document's vector and its class probabilities."""
+    hidden = shares @ vectors[ids]
+    z = out @ hidden + bias
+    p = np.exp(z - z.max())
+    return hidden, p / p.sum()
+
+
+def sgd_step(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, ids: np.ndarray, shares: np.ndarray, label: int, step: float) -> None:
+    """One step against the gradient of the log loss, in place; vectors move by step / sum of squared shares."""
+    hidden, p = forward(vectors, out, bias, ids, shares)
+    p[label] -= 1
+    vectors[ids] -= step / max(float(shares @ shares), 1e-3) * np.outer(shares, out.T @ p)
+    out -= step * np.outer(p, hidden)
+    bias -= step * p
 
 
 def held_out() -> Column:
@@ -194,9 +204,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **opti
     chosen = [clean.where((F.col("quality") > 0) == good).orderBy("h", "doc_id").limit(per_class) for good in (False, True)]
     # at most 2 * per_class narrow rows are broadcast, and as many documents are gathered
     picked = F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "quality", "h"))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").toPandas().sort_values(["h", "doc_id", "text"]).drop_duplicates("doc_id")
+    # one text of each doc_id, chosen before anything is gathered
+    one = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("h").alias("h"))
+    rows = one.toPandas().sort_values(["h", "doc_id"])
     if not len(rows):
-        return Model(np.zeros(BUCKETS), np.zeros(len(LAGS)), 0.0)
+        return Model(np.zeros(BUCKETS + (1 << PAIR_BITS)), 0.0)
     return fit(rows["text"].tolist(), [int(q > 0) for q in rows["quality"]], **options)
 
 

@@ -355,6 +355,55 @@ def test_held_out_accuracy(spark):
     assert sum(p == q for p, q in held) >= 0.95 * len(held)
 
 
+def plain_features(text):
+    """Feature ids and shares of a document, word by word."""
+    tokens = (text or "").encode().split()
+    share, size = {}, max(1, 2 * len(tokens) - 1)
+    for t in tokens:
+        ids, _ = quality_model.features([t])
+        for i in ids.tolist():
+            share[i] = share.get(i, 0) + 1 / size / len(ids)
+    for a, b in zip(tokens, tokens[1:]):
+        h = np.array([quality_model.xxhash.xxh3_64_intdigest(x) for x in (a, b)], dtype=np.uint64)
+        i = int(quality_model.pair_ids(h)[0])
+        share[i] = share.get(i, 0) + 1 / size
+    return share
+
+
+def test_folded_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    n = quality_model.BUCKETS + (1 << quality_model.PAIR_BITS)
+    vectors, out, bias = rng.normal(size=(n, quality_model.DIM)), rng.normal(size=(2, quality_model.DIM)), rng.normal(size=2)
+    model = quality_model.Model(vectors @ (out[1] - out[0]), bias[1] - bias[0])
+    docs = ["a b a b c", "one", "", None, "Wörter und wörter und Wörter " * 50]
+    bags = quality_model._Bags(docs)
+    for text, got in zip(docs, model.scores(docs)):
+        share = plain_features(text)
+        z = out @ sum((s * vectors[i] for i, s in share.items()), np.zeros(quality_model.DIM)) + bias
+        assert got == pytest.approx(1 / (1 + np.exp(z[0] - z[1])), abs=1e-5)
+        ids, shares = bags.bag(text)
+        assert dict(zip(ids.tolist(), shares.tolist())) == pytest.approx(share, abs=1e-6)
+
+
+def test_a_step_goes_against_the_gradient_of_the_loss():
+    rng = np.random.default_rng(5)
+    vectors, out, bias = rng.normal(size=(6, 3)), rng.normal(size=(2, 3)), rng.normal(size=2)
+    ids, shares, label, h = np.array([1, 4, 5]), np.array([0.5, 0.3, 0.2]), 1, 1e-6
+    loss = lambda v, o, b: -np.log(quality_model.forward(v, o, b, ids, shares)[1][label])
+    slopes = []
+    for k, x in enumerate((vectors, out, bias)):
+        slope = np.zeros_like(x)
+        for at in np.ndindex(x.shape):
+            moved = [y.copy() for y in (vectors, out, bias)]
+            moved[k][at] += h
+            slope[at] = (loss(*moved) - loss(vectors, out, bias)) / h
+        slopes.append(slope)
+    after = [y.copy() for y in (vectors, out, bias)]
+    quality_model.sgd_step(*after, ids, shares, label, 0.01)
+    assert after[1] - out == pytest.approx(-0.01 * slopes[1], abs=1e-6) and after[2] - bias == pytest.approx(-0.01 * slopes[2], abs=1e-6)
+    assert after[0] - vectors == pytest.approx(-0.01 / (shares @ shares) * slopes[0], abs=1e-6)
+
+
 def test_training_is_repeatable_and_ignores_held_out_labels(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     flipped = labels.withColumn("quality", F.when(quality_model.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
