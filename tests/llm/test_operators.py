@@ -100,15 +100,29 @@ def test_license_by_brute_force(spark):
     t = license_scan.default_templates()
     for d in docs:
         best = (0.0, None)
-        for unit in license_scan.units(d):
-            g = license_scan.bigrams(license_scan.normal_words(unit))
-            for size, name, template in t.known:
-                dice = 2 * (g & template).total() / (g.total() + size) if g else 0
-                if dice >= 0.8 and (-dice, name) < (-best[0], best[1] or "~"):
-                    best = (dice, name)
+        words = license_scan.normal_words(d)
+        for x in t.known:
+            parts = [license_scan.normal_words(u) for u in license_scan.units(d)] + [words[max(i, 0) : i + x.size + 1] for i in range(-x.size, len(words))]
+            for part in parts:
+                g = license_scan.bigrams(part)
+                dice = 2 * (g & x.grams).total() / (g.total() + x.size) if g else 0
+                if dice >= 0.8 and (-dice, x.name) < (-best[0], best[1] or "~"):
+                    best = (dice, x.name)
         assert t.best(d)[:2] == (best[1], best[0])
 
 
+def test_license_in_comments_wrapped_and_inside_lines():
+    t = license_scan.default_templates()
+    full = license_scan.TEMPLATES["MIT"][-1].split()
+    wrapped = "\n".join("# " + " ".join(full[i : i + 9]) for i in range(0, len(full), 9))
+    assert t.best("import os\n" + wrapped + "\ndef run(): pass\n" * 30)[:2] == ("MIT", 1.0)
+    notice = license_scan.TEMPLATES["MPL-2.0"][0]
+    assert t.best("Some prose before it. " * 5 + notice + " And more prose behind, on the same line. " * 5)[:2] == ("MPL-2.0", 1.0)
+    for name in ("ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0"):
+        assert t.best("/* " + license_scan.TEMPLATES[name][-1].replace(" the ", " the\n * ") + " */ int x;")[0] == name
+    assert t.best("the license of this software and the terms of the use " * 200)[0] is None
+
+
 # ---- mixing ----------------------------------------------------------------------------
 
 
