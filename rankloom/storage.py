@@ -1,14 +1,16 @@
 """Where operators put tables that must outlive a lost executor.
 
 Lineage is cut by writing Parquet below the folder named in ``spark.checkpoint.dir``,
-which the driver and all executors share. Only where that setting is missing (tests on
-one machine) a temporary folder is used.
+which the driver and all executors share. Where that setting is missing a temporary folder
+is used if the driver and the executors are one process, and refused otherwise.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +23,38 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="rankloom-"))
     return _own[0]
 
 
+_scratch: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/rankloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rankloom/{label}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; what must stay is written after that or before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
+def kept(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table that ``make()`` gives, written to ``path``; what was written on the way is removed."""
+    with scratch(spark):
+        return written(make(), "", path)
 
 
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
