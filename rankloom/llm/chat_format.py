@@ -11,8 +11,8 @@ markers: ``<`` + n backslashes + ``|`` is written with n + 1 backslashes, so tha
 
 Defined cases: a null text or role counts as empty; turns are ordered by (turn, role,
 text) with null turns first, so repeated turn numbers and repeated rows are all kept in
-a stable order; rows with a null conv_id form one conversation; an empty table gives no
-rows; columns other than conv_id, turn, role and text are ignored.
+a stable order; rows with a null conv_id form one conversation; texts of any length are
+escaped whole, one segment in memory; an empty table gives no rows; columns other than conv_id, turn, role and text are ignored.
 """
 
 from __future__ import annotations

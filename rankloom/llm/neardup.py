@@ -19,8 +19,8 @@
 Nothing about documents is gathered on the driver. Defined cases: a null or empty text,
 or one without words, has an empty set and is alone; a text with fewer words than a
 shingle is one shingle; repeated rows and equal texts share a class; a null doc_id never
-names a component unless no other is in it; an empty table gives no rows; other columns
-are ignored (``drop_near_duplicates`` returns them as they are).
+names a component unless no other is in it; texts of any length are taken whole, 128 at a
+time in memory; an empty table gives no rows; other columns are ignored (``drop_near_duplicates`` returns them as they are).
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from rankloom.llm.textops import mapped, per_batch, words
 SKETCH = 64
 #: Lists up to this length give all pairs, longer ones pairs with a hub.
 SHORT_LIST = 16
+#: Lists above this length are looked up by broadcast, so that their members are not gathered by value.
+HOT_LIST = 1000
 #: Bound on the chance that a pair at the threshold has fewer common sketch values than assumed.
 MISS = 1e-7
 #: Members of a long list that are compared with as many others in one task, and the shingles they may have.
@@ -97,6 +99,18 @@ def featured(docs: DataFrame, width: int) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), per_batch(run, 128), f"doc_id {kind}, n long, key binary, sketch array<long>")
 
 
+def looked_up(rows: DataFrame, counted: DataFrame, size: str) -> DataFrame:
+    """``rows`` joined with the stored table ``counted`` by value, where ``size`` is the number of rows with the value.
+
+    Values of more than HOT_LIST rows are at most one in HOT_LIST rows. They are broadcast
+    while their table is small, so rows of a hot value stay where they are.
+    """
+    more = [c for c in counted.columns if c != "value"]
+    near = rows.join(small(counted.where(F.col(size) > HOT_LIST)), "value", "left")
+    rest = near.where(F.col(size).isNull()).drop(*more).join(counted.where(F.col(size) <= HOT_LIST), "value")
+    return near.where(F.col(size).isNotNull()).unionByName(rest)
+
+
 def prefixes(classes: DataFrame, percent: int) -> DataFrame:
     """cid, n, centre, prefix: the rarest retained values that others retain too, rarest first.
 
@@ -105,7 +119,7 @@ def prefixes(classes: DataFrame, percent: int) -> DataFrame:
     """
     values = classes.select("cid", F.explode("sketch").alias("value"))
     known = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = values.join(known, "value").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
+    common = looked_up(values, written(known, "dedup-known"), "df").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
     common = common.join(classes.select("cid", "n", F.size("sketch").alias("m")), "cid")
     whole = F.col("n") * 100 <= F.lit(SKETCH * percent)
     least = F.when(whole, F.expr(f"(n * {percent} + 99) div 100")).otherwise(F.lit(shared_at_least(SKETCH, percent)))
@@ -123,24 +137,24 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
 
-def candidate_pairs(members: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes: all of short lists, and those with the hub of long lists."""
-    short = members.join(lists.where(F.col("length") <= SHORT_LIST).select("value"), "value")
+def candidate_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes: all of short lists, and those with the hub of long lists. ``members`` are placed."""
+    short = members.where(F.col("length") <= SHORT_LIST)
     x, y = short.alias("x"), short.alias("y")
     meet = (F.col("x.value") == F.col("y.value")) & (F.col("x.cid") < F.col("y.cid")) & _near_size("x.n", "y.n", percent)
     close = x.join(y, meet).where(F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.value"))
-    starred = members.join(lists.where(F.col("length") > SHORT_LIST).select("value", "hub"), "value").where(F.col("cid") != F.col("hub"))
+    starred = members.where(F.col("length") > SHORT_LIST).where(F.col("cid") != F.col("hub"))
     return _ordered(close.select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")).union(starred.select(F.col("cid").alias("x"), F.col("hub").alias("y"))))
 
 
-def unsettled(members: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFrame:
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """value, cid, n, label, outside, blocks: long lists in which the hub is not connected to everyone, stored."""
-    long = members.select("value", "cid", "n").join(lists.where(F.col("length") > SHORT_LIST).select("value", "hub", "length", "shingles"), "value")
+    long = members.where(F.col("length") > SHORT_LIST).select("value", "cid", "n", "hub", "length", "shingles")
     named = long.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     hubs = labels.select(F.col("cid").alias("hub"), F.col("label").alias("hub_label"))
     named = named.join(hubs, "hub", "left").withColumn("outside", F.col("label") != F.coalesce("hub_label", "hub"))
     named = written(named.select("value", "cid", "n", "label", "outside", F.greatest(F.ceil(F.col("length") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "dedup-named")
-    open_lists = named.where("outside").select("value").distinct()
+    open_lists = small(named.where("outside").select("value").distinct())
     return named.join(open_lists, "value", "left_semi")
 
 
@@ -259,13 +273,13 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jump.select("cid", "label")
 
 
-def connected(members: DataFrame, lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def connected(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Labels by all links: those of short lists and of hubs, then of what the hubs have left open."""
-    pairs = written(estimated(candidate_pairs(members, lists, percent), classes, percent), "dedup-pairs")
+    pairs = written(estimated(candidate_pairs(members, percent), classes, percent), "dedup-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     edges = written(verified(pairs, full_sets(docs, classes, ids, width), percent), "dedup-links")
     labels = components(edges)
-    rest = unsettled(members, lists, labels)
+    rest = unsettled(members, labels)
     if not rest.limit(1).count():
         return labels
     found = written(block_links(rest, full_sets(docs, classes, rest.select("cid").distinct(), width), percent), "dedup-links")
@@ -281,7 +295,7 @@ def marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     members = written(prefixes(classes, percent).select("*", F.explode("prefix").alias("value")), "dedup-lists")
     lists = members.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.sum("n").alias("shingles"), F.max(F.struct("centre", "cid")).alias("best")).where("length > 1")
     lists = written(lists.select("value", "length", "shingles", F.col("best.cid").alias("hub")), "dedup-heads")
-    labels = connected(members, lists, classes, docs, width, percent)
+    labels = connected(written(looked_up(members, lists, "length"), "dedup-placed"), classes, docs, width, percent)
     named = labels.join(classes.select("cid", "key", "first_id"), "cid")
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     linked = written(named.join(least, "label").select("key", "label", "component_id"), "dedup-components")

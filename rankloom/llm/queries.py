@@ -81,8 +81,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    formatted = chat_format.format_conversations(rows.unionByName(extra))
+    extra = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    formatted = chat_format.format_conversations(rows.unionByName(extra.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields])))
     read = chat_format.parse_conversations(formatted)
     digest = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return read.select(

@@ -1,5 +1,5 @@
 """Shared storage, as in the rest of the library."""
 
-from rankloom.storage import new_path, remove, shared_dir, small, written
+from rankloom.storage import kept, new_path, remove, shared_dir, small, written
 
-__all__ = ["new_path", "remove", "shared_dir", "small", "written"]
+__all__ = ["kept", "new_path", "remove", "shared_dir", "small", "written"]

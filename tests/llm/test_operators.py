@@ -285,6 +285,13 @@ def test_components_equal_brute_force(spark, width, percent):
     assert got == brute_components(rows, width, percent)
 
 
+def test_all_documents_by_brute_force(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(neardup, "HOT_LIST", 20)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_near_dedup(spark, sf).collect()}
+    assert got == brute_components(texts(sf), 3, 85)
+
+
 def test_block_pairs_equal_set_arithmetic():
     rng = random.Random(4)
     sets = [np.array(sorted(rng.sample(range(60), rng.randint(20, 50))), dtype=np.uint64) for _ in range(40)]
@@ -695,6 +702,9 @@ def test_chat_round_trip(spark):
         assert got[c].loss_text == "".join(t[2] for t in turns if t[1] == "assistant")
         blocks = 1 + sum(a[1] != b[1] for a, b in zip(turns, turns[1:]))
         assert got[c].formatted.count("<|im_start|>") == got[c].formatted.count("<|im_end|>\n") == blocks
+    long = [(1, 5, "assistant", "x<|" * 60_000)] + [(2, 0, "user", f"m{i % 7}") for i in range(600)] + [(3, None, "user", "a"), (3, None, "assistant", "b"), (3, None, None, "c")]
+    back = {r.conv_id: r for r in chat_format.parse_conversations(chat_format.format_conversations(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"))).collect()}
+    assert back[1].loss_text == "x<|" * 60_000 and len(back[2].turns) == 600 and sorted(t.text for t in back[3].turns) == ["a", "b", "c"]
     assert [(t.role, t.text) for t in got[100].turns] == [("", "")] and len(got[101].turns) == 2 and len(got[None].turns) == 1
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.parse_conversations(chat_format.format_conversations(empty)).collect() == []
@@ -703,24 +713,58 @@ def test_chat_round_trip(spark):
 # ---- pipeline --------------------------------------------------------------------------
 
 
-def test_pipeline_stages_equal_their_operators(spark, sf_dir):
-    import corpus_pipeline
+def stage_by_brute_force(name, rows, sf_dir, spark):
+    """What a stage leaves of ``rows`` (doc_id, text, lang, source), as sorted doc_ids."""
+    import pandas as pd
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, at = docs.columns, docs
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]))
+    if name == "quality_classifier":
+        labels = dict(duckdb.execute(f"select doc_id, quality from '{sf_dir}/labels.parquet'").fetchall())
+        known = sorted(((d, t) for d, t, *_ in rows if d in labels and zlib.crc32(str(d).encode()) % 4 != 2), key=lambda r: (hashlib.md5(f"{quality_model.SEED}:{r[0]}".encode()).hexdigest(), r[0]))
+        model = quality_model.fit([t for _, t in known], [labels[d] for d, _ in known])
+        return sorted(d for d, t, *_ in rows if model.scores([t])[0] >= 0.7)
+    if name == "quality_rules":
+        return sorted(d for d, k in c.execute(f"select doc_id, kept from ({queries.ORACLE_SQL['op7_quality_rules']})").fetchall() if k)
+    if name == "near_duplicates":
+        return sorted(d for d, (_, first) in brute_components([r[:2] for r in rows], 5, 80).items() if first == d)
+    if name == "mix_sources":
+        return sorted(d for d, n, taken in c.execute(f"select doc_id, size, taken from ({queries.ORACLE_SQL['op2_mix_sources']})").fetchall() for _ in range(taken // max(n, 1)))
+    return sorted(d for d, *_ in rows)
+
+
+def test_pipeline_stages_by_brute_force(spark, sf_dir):
+    import corpus_pipeline
     from rankloom.llm.storage import written
+    from tokenizers import Tokenizer
 
+    at = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = at.columns
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        rows = [tuple(r) for r in at.select("doc_id", "text", "lang", "source").orderBy("doc_id").collect()]
         out = written(stage(spark, at, sf_dir), name)
+        assert sorted(r.doc_id for r in out.collect()) == stage_by_brute_force(name, rows, sf_dir, spark), name
         if i < 4:
             assert out.columns == columns
-        if name == "near_duplicates":
-            rows = [(r.doc_id, r.text) for r in at.select("doc_id", "text").orderBy("doc_id").collect()]
-            want = brute_components(rows, 5, 80)
-            assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, (_, c) in want.items() if c == d)
-        at = out
+            at = out
+    library = Tokenizer.from_file(TOKENIZER)
+    of = {d: t for d, t, *_ in rows}
+    assert all(r.ids == library.encode(of[r.doc_id], add_special_tokens=False).ids for r in out.collect())
     final = corpus_pipeline.run(spark, sf_dir)
-    assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in at.collect())
+    assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in out.collect())
+
+
+@pytest.mark.parametrize("case", ["awkward", "empty", "no labels"])
+def test_pipeline_takes_awkward_tables(spark, awkward, nothing, labels, tmp_path, case):
+    import corpus_pipeline
+
+    (nothing if case == "empty" else awkward).write.parquet(f"{tmp_path}/documents.parquet")
+    (labels.where("false") if case == "no labels" else labels).write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "ids", "decoded"]
+    assert {r.doc_id for r in out.collect()} <= {r[0] for r in AWKWARD}
+    if case != "awkward":
+        assert out.count() == 0
 
 
 def test_range_numbers_count_the_cuts_below(spark):
