@@ -7,7 +7,14 @@
 5. Whole texts are encoded to token ids and decoded again.
 
 All stages but the last return the columns of documents. Stages hold no state between
-runs; what they store goes to the shared folder of the cluster.
+runs; what they store goes to the shared folder of the cluster and is removed when the
+stage's result is written, as is that result once the next stage has been written.
+
+Defined cases: each stage follows its operator. A null or empty text has no words, so the
+quality rules drop it; without labels every score is 0.5 and the classifier drops all; a
+null doc_id, label, language or source is handled as such in every stage; repeated rows
+are one group of copies; texts of any length are taken whole; empty tables give no rows;
+further columns of documents pass through to the fourth stage whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import bpe, mixing, neardup, quality_model, quality_rules
 from rankloom.llm.queries import table, tokenizer_path
-from rankloom.llm.storage import written
+from rankloom.llm.storage import kept, new_path, remove
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +60,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``: doc_id, ids, decoded."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        docs = kept(spark, path, lambda: stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = path
     return docs
