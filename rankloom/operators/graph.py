@@ -58,21 +58,25 @@ def pagerank(nodes: DataFrame, links: DataFrame, seeds: DataFrame, alpha: float
     """query_id, card_id, score: p = alpha * seed + (1 - alpha) * sum of p / degree over neighbours.
 
     Links count in both directions and as often as they occur; mass at a node without
-    links is not passed on. Every fifth iteration is stored to keep plans short.
+    links is not passed on. Only nodes that hold mass are carried, so an iteration is a
+    join on the links and a sum, and the first ones touch the seeds' surroundings alone.
+    Every fifth iteration is stored to keep plans short.
     """
     both = links.select("query_id", F.col("src").alias("a"), F.col("dst").alias("b")).union(links.select("query_id", "dst", "src"))
     out_degree = both.groupBy("query_id", "a").agg(F.count(F.lit(1)).alias("degree"))
     weighted = written(both.join(out_degree, ["query_id", "a"]).groupBy("query_id", "a", "b").agg((F.count(F.lit(1)) / F.max("degree")).alias("w")), "links")
     total = seeds.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    start = nodes.select("query_id", "card_id").distinct().join(seeds.select("query_id", "card_id", "weight"), ["query_id", "card_id"], "left").join(total, "query_id", "left")
-    base = written(start.select("query_id", "card_id", F.coalesce(F.try_divide("weight", "total"), F.lit(0.0)).alias("s")), "ppr")
-    p = base.select("query_id", "card_id", F.col("s").alias("p"))
+    known = written(nodes.select("query_id", "card_id").distinct(), "nodes")
+    s = seeds.select("query_id", "card_id", "weight").join(known, ["query_id", "card_id"], "left_semi").join(total, "query_id")
+    s = written(s.groupBy("query_id", "card_id").agg(F.coalesce(F.try_divide(F.sum("weight"), F.max("total")), F.lit(0.0)).alias("p")), "ppr")
+    source = s.select("query_id", "card_id", (F.col("p") * alpha).alias("p"))
+    p = s
     for i in range(iterations):
-        came = p.select("query_id", F.col("card_id").alias("a"), "p").join(weighted, ["query_id", "a"]).groupBy("query_id", F.col("b").alias("card_id")).agg(F.sum(F.col("p") * F.col("w")).alias("m"))
-        p = base.join(came, ["query_id", "card_id"], "left").select("query_id", "card_id", (alpha * F.col("s") + (1 - alpha) * F.coalesce("m", F.lit(0.0))).alias("p"))
+        came = p.select("query_id", F.col("card_id").alias("a"), "p").join(weighted, ["query_id", "a"]).select("query_id", F.col("b").alias("card_id"), (F.col("p") * F.col("w") * (1 - alpha)).alias("p"))
+        p = source.unionByName(came).groupBy("query_id", "card_id").agg(F.sum("p").alias("p"))
         if i % 5 == 4:
             p = written(p, "ppr")
-    return p.select("query_id", "card_id", F.round("p", 6).alias("score"))
+    return known.join(p, ["query_id", "card_id"], "left").select("query_id", "card_id", F.round(F.coalesce("p", F.lit(0.0)), 6).alias("score"))
 
 
 def entity_links(mentions: DataFrame, facts: DataFrame, times: DataFrame, blind: bool = False) -> DataFrame:

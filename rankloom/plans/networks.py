@@ -138,10 +138,6 @@ def _onto(rec: Record, blind: bool) -> DataFrame:
     return ranking.hop_split(seeds, cards.select("query_id", "card_id", "score"), 10)
 
 
-#: Of the registered SQL only; the queries run all iterations.
-ONTO_ITERATIONS = 5
-
-
 def onto_rule_walk(rec: Record) -> DataFrame:
     """Evidence grows along the entity graph: from the three best seeds, twice the three best new cards of a walk that
     starts at all evidence alike. Result: evidence by date, then the seeds that are not part of it."""
@@ -446,7 +442,7 @@ split AS (
   FROM banded WHERE band IS NOT NULL)
 """
 RESULT = "SELECT query_id, card_id, 1.0::DOUBLE / rank AS score, rank FROM split WHERE rank <= 10"
-SUBGRAPH = _walk_sql(1) + """,
+SUBGRAPH = _walk_sql() + """,
 nodes AS (SELECT query_id, card_id FROM walked),
 links AS (
   SELECT a.query_id, src, dst FROM order_edges e JOIN walked a ON a.card_id = e.src JOIN walked b ON b.card_id = e.dst AND b.query_id = a.query_id),
@@ -487,7 +483,7 @@ def _cards_sql(ppr: str) -> str:
 
 def _onto_sql(blind: bool) -> str:
     weights = ", wseeds AS (SELECT query_id, 'c' || card_id AS card_id, 1.0::DOUBLE / rank AS weight FROM rseeds),"
-    return with_orders(RESULT, _onto_ctes(blind) + weights + _ppr_sql(ONTO_ITERATIONS) + f", second AS ({_cards_sql('ppr')})," + SPLIT.format(first="rseeds", second="second"))
+    return with_orders(RESULT, _onto_ctes(blind) + weights + _ppr_sql(graph.ITERATIONS) + f", second AS ({_cards_sql('ppr')})," + SPLIT.format(first="rseeds", second="second"))
 
 
 def _rule_sql() -> str:
@@ -495,7 +491,7 @@ def _rule_sql() -> str:
     for i in (0, 1):
         out += f""",
 ws{i} AS (SELECT query_id, 'c' || card_id AS card_id, 1.0::DOUBLE AS weight FROM e{i}),
-{_ppr_sql(ONTO_ITERATIONS, f"h{i}", f"ws{i}")},
+{_ppr_sql(graph.ITERATIONS, f"h{i}", f"ws{i}")},
 new{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, card_id) AS rank FROM ({_cards_sql(f"pprh{i}")}) ANTI JOIN e{i} USING (query_id, card_id)),
 e{i + 1} AS (SELECT * FROM e{i} UNION ALL SELECT query_id, card_id FROM new{i} WHERE rank <= 3)"""
     out += """,
@@ -574,7 +570,7 @@ ORACLE_SQL = {
     "indegree_asof": with_orders("SELECT strftime(as_of, '%Y-%m-%d') AS as_of, in_degree, count(*) AS n_cards FROM (SELECT dst, as_of, count(*) AS in_degree FROM order_edges JOIN walks ON valid_from <= as_of GROUP BY 1, 2) GROUP BY 1, 2"),
     "dag_walk_depth": with_orders("SELECT * FROM walked", _walk_sql()),
     "dag_walk_blind_depth": with_orders("SELECT query_id, depth, count(*) AS n_cards FROM walked GROUP BY 1, 2", _walk_sql(blind=True)),
-    "dag_links": with_orders("SELECT a.query_id, count(*) AS n_links, min(src) AS first_src, max(dst) AS last_dst FROM order_edges e JOIN walked a ON a.card_id = e.src JOIN walked b ON b.card_id = e.dst AND b.query_id = a.query_id GROUP BY 1", _walk_sql(1)),
+    "dag_links": with_orders("SELECT a.query_id, count(*) AS n_links, min(src) AS first_src, max(dst) AS last_dst FROM order_edges e JOIN walked a ON a.card_id = e.src JOIN walked b ON b.card_id = e.dst AND b.query_id = a.query_id GROUP BY 1", _walk_sql()),
     "ppr_subgraph": with_orders("SELECT * FROM ppr", SUBGRAPH),
     "dag_walk_topk": with_orders(RESULT, SUBGRAPH + "," + SPLIT.format(first="seeds", second="ppr")),
     "bfs_sample": with_orders("SELECT node, depth FROM run WHERE running - size < 200", "ones AS (SELECT card_id AS node, 1 AS size FROM ord)," + SNOW.format(hubs=1, depth=6, sizes="ones")),
@@ -656,7 +652,7 @@ SELECT 1.0::DOUBLE AS mention_precision, 1.0::DOUBLE AS mention_recall, 1.0::DOU
     "ontology_classes": with_notes("SELECT 'Method' AS class, count(DISTINCT surface) AS n FROM note_lines UNION ALL SELECT 'Dataset', count(DISTINCT dataset) FROM note_lines"),
     "timeline_questions": with_notes("""
 SELECT l_partkey, dataset, row_number() OVER (PARTITION BY l_partkey, dataset ORDER BY o_orderdate, card_id) - 1 AS slot, card_id
-FROM r JOIN orders ON o_orderkey = card_id SEMI JOIN (SELECT l_partkey, dataset FROM r GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 9) k USING (l_partkey, dataset)""",
+FROM r JOIN orders ON o_orderkey = card_id SEMI JOIN (SELECT l_partkey, dataset FROM r GROUP BY 1, 2 HAVING count(*) >= 2) k USING (l_partkey, dataset)""",
         "r AS (SELECT DISTINCT card_id, l_partkey, dataset FROM note_lines)"),
     "aggregate_questions": with_notes("""
 SELECT l_partkey, count(DISTINCT dataset) AS n_datasets, count(DISTINCT card_id) AS n_cards FROM note_lines n GROUP BY 1
