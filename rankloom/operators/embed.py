@@ -19,7 +19,7 @@ def hash_vector(text: str | None, dim: int) -> np.ndarray:
     for word in _WORD.findall((text or "").lower()):
         for piece in [word, *([word[i : i + 3] for i in range(len(word) - 2)] or [word])]:
             h = int.from_bytes(blake2b(piece.encode(), digest_size=8).digest(), "little")
-            v[h % dim] += -1.0 if h >> 63 else 1.0
+            v[h % dim] += 1.0 if h >> 63 else -1.0
     norm = np.linalg.norm(v)
     return v / norm if norm else v
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import clean_title, tokens
-from rankloom.operators import asof, embed, extraction, graph, judge, metrics, ranking
+from rankloom.operators import asof, embed, extraction, graph, judge, metrics, ranking, stats
 from rankloom.plans.prelude import with_orders, with_text
 from rankloom.plans.retrieval import _rankings, usage_mined
 from rankloom.sources.record import Record
@@ -212,12 +212,12 @@ def known_item_queries(rec: Record) -> DataFrame:
 
 
 def rerank_topk(rec: Record) -> DataFrame:
-    """Current cards among the RRF of 150 each, the best 50, by a pluggable scorer: the share of query words in the first 1200 characters."""
+    """Current cards among the RRF of 150 each, the best 50, by the share of query words in the whole text; ``api`` takes other scorers."""
     fused = rec.rrf(150).join(rec.queries, "query_id").join(rec.versions, "card_id").where(asof.current(F.col("as_of")))
     best = ranking.top(fused.select("query_id", "card_id", "score"), 50)
     q = rec.queries.select("query_id", F.array_distinct(tokens(F.col("qtext"))).alias("qw"))
     both = best.select("query_id", "card_id").join(q, "query_id").join(rec.texts, "card_id")
-    shared = F.size(F.array_intersect("qw", tokens(F.substring("txt", 1, 1200)))) / F.size("qw")
+    shared = F.size(F.array_intersect("qw", tokens(F.col("txt")))) / F.size("qw")
     return ranking.top(both.select("query_id", "card_id", F.round(shared, 6).alias("score")), 10)
 
 
@@ -362,12 +362,13 @@ def multihop_table(rec: Record) -> DataFrame:
 
 
 def hash_embed(rec: Record) -> DataFrame:
+    """The vectors themselves, a row for each dimension that is not zero."""
     v = rec.texts.select("card_id", embed.hash_embedding(F.col("txt"), 64).alias("v"))
-    return v.select("card_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"), F.size("v").alias("dim"))
+    return v.select("card_id", F.posexplode("v").alias("dim", "x")).where("x <> 0").select("card_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 def _pairs(rec: Record) -> DataFrame:
-    return judge.paired_lists(judge.lists(_rankings(rec), rec.labels), "bm25", "fresh")
+    return judge.paired_lists(judge.lists(_rankings(rec), rec.labels), rec.labels, "bm25", "fresh")
 
 
 def judge_duel(rec: Record) -> DataFrame:
@@ -379,13 +380,22 @@ def noise_floor(rec: Record) -> DataFrame:
 
 
 def judge_agreement(rec: Record) -> DataFrame:
-    """Verdicts of the metric against the judge's, and how often the order of a duel decides."""
-    m = metrics.ndcg(_rankings(rec), rec.labels, 10)
+    """The judge against the metric: lists alike in their first five are ties and not asked; how often the order of a
+    duel decides, how often what is shown first wins, and kappa with the sign of the metric's difference."""
+    pairs = _pairs(rec)
+    asked = judge.duel(pairs.where("x_ids <> y_ids"))
+    alike = pairs.where("x_ids = y_ids").select("query_id", F.lit(None).cast("string").alias("forward"), F.lit(None).cast("string").alias("backward"), F.lit("TIE").alias("verdict"), F.lit(False).alias("inconsistent"))
+    duels = written(asked.withColumn("asked", F.lit(True)).unionByName(alike.withColumn("asked", F.lit(False))), "duels")
+    counts = duels.agg(
+        F.count_if("asked").alias("n_asked"), F.count_if(~F.col("asked")).alias("n_identical"), F.count_if(F.col("asked") & F.col("verdict").isNull()).alias("n_errors"),
+        F.count_if("inconsistent").alias("inconsistent"), F.count_if(F.col("forward").isin("A", "B")).alias("decided"), F.count_if(F.col("forward") == "A").alias("first_preferred"),
+    )
+    m = metrics.ndcg(_rankings(rec), rec.labels, 10, metrics.judgment_pool(_rankings(rec), 10))
     side = lambda run, n: m.where(F.col("run") == run).select("query_id", F.col("ndcg").alias(n))
     d = side("bm25", "x").join(side("fresh", "y"), "query_id")
-    by_metric = d.select("query_id", F.when(F.abs(F.col("x") - F.col("y")) < 1e-9, "TIE").when(F.col("x") > F.col("y"), "A").otherwise("B").alias("metric"))
-    both = judge_duel(rec).join(by_metric, "query_id")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("metric") == F.col("verdict")).alias("agree"), F.count_if("inconsistent").alias("inconsistent"))
+    by_metric = d.select("query_id", F.when(F.abs(F.col("x") - F.col("y")) < 1e-9, "TIE").when(F.col("x") > F.col("y"), "A").otherwise("B").alias("a"))
+    k = stats.kappa(by_metric.join(duels.select("query_id", F.col("verdict").alias("b")), "query_id"))
+    return counts.crossJoin(k)  # one row each
 
 
 NAMES = [
@@ -524,25 +534,26 @@ def with_notes(select: str, more: str = "") -> str:
 
 
 DUEL = r"""
-, top5 AS (SELECT r.*, l.grade FROM rankings r LEFT JOIN labels l ON l.query_id = r.query_id AND l.card_id = r.card_id WHERE rank <= 5),
+, shown AS (SELECT r.*, l.grade FROM rankings r LEFT JOIN labels l ON l.query_id = r.query_id AND l.card_id = r.card_id WHERE rank <= 5),
 lists AS (
-  SELECT run, query_id, round(sum(coalesce(grade, 0.0) / log2(rank + 1)) / 4.0::DOUBLE, 6) AS gain,
-         max(CASE WHEN rank = 1 AND grade IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS first, count(*) AS length FROM top5 GROUP BY 1, 2),
+  SELECT run, query_id, round(sum(coalesce(grade, 0.0::DOUBLE) / log2(rank + 1)), 9) AS gain, count(*) AS length, string_agg(card_id::VARCHAR, '|' ORDER BY rank) AS ids FROM shown GROUP BY 1, 2),
+graded AS (SELECT query_id, list(grade ORDER BY grade DESC) AS grades FROM labels GROUP BY 1),
+both_sides AS (
+  SELECT g.query_id, grades, coalesce(x.gain, 0) AS ga, coalesce(y.gain, 0) AS gb, coalesce(x.length, 0) AS la, coalesce(y.length, 0) AS lb, coalesce(x.ids, '') AS ia, coalesce(y.ids, '') AS ib
+  FROM graded g LEFT JOIN lists x ON x.query_id = g.query_id AND x.run = 'bm25' LEFT JOIN lists y ON y.query_id = g.query_id AND y.run = 'fresh'),
 px AS (
-  SELECT x.query_id, 4.0::DOUBLE * (x.gain - y.gain) + 0.1::DOUBLE * (x.first - y.first) + 0.06::DOUBLE * sign(x.length - y.length) AS m
-  FROM (SELECT * FROM lists WHERE run = 'bm25') x JOIN (SELECT * FROM lists WHERE run = 'fresh') y USING (query_id)),
+  SELECT *, coalesce(nullif(round(list_sum(list_transform(grades[1:greatest(la, lb, 1)], lambda g, i: g / log2(i + 1))), 9), 0), 1.0::DOUBLE) AS best FROM both_sides),
+margins AS (
+  SELECT *, 4.0::DOUBLE * (ga - gb) / best + 0.06::DOUBLE * ((la - lb) / greatest(la, lb, 1)::DOUBLE) AS m,
+         ('0x' || substr(md5(query_id || ':' || ia || ':#:' || ib), 1, 8))::BIGINT AS h1, ('0x' || substr(md5(query_id || ':' || ib || ':#:' || ia), 1, 8))::BIGINT AS h2,
+         ('0x' || substr(md5(query_id || ':' || ia || ':#:' || ib || ':1'), 1, 8))::BIGINT AS h3, ('0x' || substr(md5(query_id || ':' || ia || ':#:' || ib || ':2'), 1, 8))::BIGINT AS h4 FROM px),
 asked AS (
-  SELECT query_id, m,
-         0.3::DOUBLE * (('0x' || substr(md5(query_id || ':x:y:s'), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5::DOUBLE) AS n1,
-         0.3::DOUBLE * (('0x' || substr(md5(query_id || ':y:x:s'), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5::DOUBLE) AS n2,
-         0.3::DOUBLE * (('0x' || substr(md5(query_id || ':x:y:1'), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5::DOUBLE) AS n3,
-         0.3::DOUBLE * (('0x' || substr(md5(query_id || ':x:y:2'), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5::DOUBLE) AS n4 FROM px),
+  SELECT *, m + 0.1::DOUBLE + 0.3::DOUBLE * (h1 / 4294967296.0::DOUBLE - 0.5::DOUBLE) AS m1, -m + 0.1::DOUBLE + 0.3::DOUBLE * (h2 / 4294967296.0::DOUBLE - 0.5::DOUBLE) AS m2,
+         m + 0.1::DOUBLE + 0.3::DOUBLE * (h3 / 4294967296.0::DOUBLE - 0.5::DOUBLE) AS m3, m + 0.1::DOUBLE + 0.3::DOUBLE * (h4 / 4294967296.0::DOUBLE - 0.5::DOUBLE) AS m4 FROM margins),
 duel0 AS (
-  SELECT query_id, CASE WHEN m + n1 > 0.08 THEN 'A' WHEN m + n1 < -0.08 THEN 'B' ELSE 'TIE' END AS forward,
-         CASE WHEN -m + n2 > 0.08 THEN 'B' WHEN -m + n2 < -0.08 THEN 'A' ELSE 'TIE' END AS backward,
-         CASE WHEN m + n3 > 0.08 THEN 'A' WHEN m + n3 < -0.08 THEN 'B' ELSE 'TIE' END AS again1,
-         CASE WHEN m + n4 > 0.08 THEN 'A' WHEN m + n4 < -0.08 THEN 'B' ELSE 'TIE' END AS again2 FROM asked),
-duel AS (SELECT query_id, forward, backward, CASE WHEN forward = backward THEN forward ELSE 'TIE' END AS verdict, forward <> backward AS inconsistent FROM duel0)
+  SELECT query_id, ia, ib, CASE WHEN abs(m1) < 0.08 THEN 'TIE' WHEN m1 > 0 THEN 'A' ELSE 'B' END AS forward, CASE WHEN abs(m2) < 0.08 THEN 'TIE' WHEN m2 > 0 THEN 'B' ELSE 'A' END AS backward,
+         CASE WHEN abs(m3) < 0.08 THEN 'TIE' WHEN m3 > 0 THEN 'A' ELSE 'B' END AS again1, CASE WHEN abs(m4) < 0.08 THEN 'TIE' WHEN m4 > 0 THEN 'A' ELSE 'B' END AS again2 FROM asked),
+duel AS (SELECT query_id, forward, backward, CASE WHEN forward = backward THEN forward ELSE 'TIE' END AS verdict, forward <> backward AS inconsistent, ia = ib AS alike FROM duel0)
 """
 RAW = """
 raw AS (
@@ -631,7 +642,7 @@ SELECT card_id, string_agg(w, ' ' ORDER BY k) AS qtext FROM ks WHERE k <= 9 GROU
   SELECT query_id, card_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, card_id) AS rank FROM rrf150 JOIN queries USING (query_id) JOIN versions USING (card_id)
   WHERE superseded_at IS NULL OR superseded_at > as_of),
 scored AS (
-  SELECT query_id, card_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(qtext), '[a-z0-9]+')), regexp_extract_all(lower(substr(text, 1, 1200)), '[a-z0-9]+')))::DOUBLE
+  SELECT query_id, card_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(qtext), '[a-z0-9]+')), regexp_extract_all(lower(text), '[a-z0-9]+')))::DOUBLE
          / len(list_distinct(regexp_extract_all(lower(qtext), '[a-z0-9]+'))), 6) AS score
   FROM cand JOIN queries USING (query_id) JOIN documents d ON d.doc_id = card_id WHERE rank <= 50)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, card_id) AS rank FROM scored) WHERE rank <= 10"""),
@@ -676,14 +687,16 @@ per_query AS (
   SELECT run, query_id, round(avg(hit), 6) AS slot_recall, min(hit) AS chain_recall
   FROM (SELECT w.*, (h.slot IS NOT NULL)::INT AS hit FROM wanted w LEFT JOIN slot_hits h ON h.run = w.run AND h.query_id = w.query_id AND h.slot = w.slot) GROUP BY 1, 2)
 SELECT run, count(*) AS n, round(avg(slot_recall), 6) AS slot_recall, round(avg(chain_recall), 6) AS chain_recall FROM per_query GROUP BY 1"""),
-    "judge_duel": with_text(DUEL + "SELECT * FROM duel"),
+    "judge_duel": with_text(DUEL + "SELECT * EXCLUDE (alike) FROM duel"),
     "noise_floor": with_text(DUEL + "SELECT count(*) AS asked, count(*) FILTER (again1 <> again2) AS flips FROM duel0"),
     "judge_agreement": with_text(DUEL + """
-, raw_ndcg AS (
-  SELECT p.run, p.query_id, round(coalesce(sum(grade / log2(rank + 1)), 0) / any_value(ideal), 6) AS ndcg
-  FROM per p JOIN ideal USING (query_id) LEFT JOIN hits h ON h.run = p.run AND h.query_id = p.query_id AND rank <= 10 GROUP BY 1, 2),
-by_metric AS (
-  SELECT query_id, CASE WHEN abs(x.ndcg - y.ndcg) < 1e-9 THEN 'TIE' WHEN x.ndcg > y.ndcg THEN 'A' ELSE 'B' END AS metric
-  FROM (SELECT * FROM raw_ndcg WHERE run = 'bm25') x JOIN (SELECT * FROM raw_ndcg WHERE run = 'fresh') y USING (query_id))
-SELECT count(*) AS n, count(*) FILTER (metric = verdict) AS agree, count(*) FILTER (inconsistent) AS inconsistent FROM duel JOIN by_metric USING (query_id)"""),
+, by_metric AS (
+  SELECT query_id, CASE WHEN abs(x.ndcg - y.ndcg) < 1e-9 THEN 'TIE' WHEN x.ndcg > y.ndcg THEN 'A' ELSE 'B' END AS a
+  FROM (SELECT * FROM ndcg WHERE run = 'bm25') x JOIN (SELECT * FROM ndcg WHERE run = 'fresh') y USING (query_id)),
+ab AS (SELECT a, CASE WHEN alike THEN 'TIE' ELSE verdict END AS b FROM duel JOIN by_metric USING (query_id)),
+k AS (SELECT count(*) AS n, count(*) FILTER (a = b) AS agree FROM ab),
+pe AS (SELECT coalesce(sum(ca * cb), 0) / (SELECT n * n FROM k)::DOUBLE AS pe FROM (SELECT a AS v, count(*) AS ca FROM ab GROUP BY 1) JOIN (SELECT b AS v, count(*) AS cb FROM ab GROUP BY 1) USING (v))
+SELECT count(*) FILTER (NOT alike) AS n_asked, count(*) FILTER (alike) AS n_identical, 0::BIGINT AS n_errors, count(*) FILTER (inconsistent AND NOT alike) AS inconsistent,
+       count(*) FILTER (forward <> 'TIE' AND NOT alike) AS decided, count(*) FILTER (forward = 'A' AND NOT alike) AS first_preferred, any_value(n) AS n, any_value(agree) AS agree,
+       round(any_value(CASE WHEN pe < 1 THEN (agree / n::DOUBLE - pe) / (1 - pe) END), 6) AS kappa FROM duel, k, pe"""),
 }

@@ -223,13 +223,25 @@ def hard_checks(rec: Record) -> DataFrame:
     return out.select("run", "results", "after_as_of", F.coalesce("superseded_above", F.lit(0)).alias("superseded_above"), F.coalesce("no_answer_answered", F.lit(0)).alias("no_answer_answered"))
 
 
+def _sources(rec: Record) -> DataFrame:
+    """query_id, source_card, line of the card a query was made from: the first card that answers it."""
+    first = rec.labels.groupBy("query_id").agg(F.min("card_id").alias("source_card"))
+    return first.join(rec.versions.select(F.col("card_id").alias("source_card"), F.col("line").alias("source_line")), "source_card")
+
+
 def distractor_taxonomy(rec: Record) -> DataFrame:
-    """What stands in the lists without being relevant: a version that is no longer current, a sibling on a relevant line, other lines."""
-    lines = rec.labels.join(rec.versions.select("card_id", "line"), "card_id").select("query_id", "line").distinct().withColumn("sibling", F.lit(True))
-    wrong = _rankings(rec).join(rec.labels.select("query_id", "card_id"), ["query_id", "card_id"], "left_anti").join(rec.versions, "card_id").join(lines, ["query_id", "line"], "left")
-    has = rec.labels.select("query_id").distinct().withColumn("has", F.lit(True))
-    wrong = wrong.join(has, "query_id", "left")
-    kind = F.when(F.col("superseded_at").isNotNull(), "superseded_version").when(F.col("sibling"), "sibling_on_line").when(F.col("has"), "other_line").otherwise("other")
+    """What wins at rank 1 of labelled queries that are answered wrongly: a card that is not current, a sibling on the
+    line of the query's source, one of another topic (here the language), or something else."""
+    topic = rec.table("documents").select(F.col("doc_id").alias("card_id"), F.col("lang").alias("topic"))
+    sources = _sources(rec).join(topic.select(F.col("card_id").alias("source_card"), F.col("topic").alias("source_topic")), "source_card")
+    best = _rankings(rec).where("rank = 1").join(rec.labels.select("query_id", "card_id"), ["query_id", "card_id"], "left_anti")
+    wrong = best.join(sources, "query_id").join(rec.versions, "card_id").join(topic, "card_id")
+    kind = (
+        F.when(F.col("superseded_at").isNotNull(), "superseded_version")
+        .when(F.col("line").eqNullSafe(F.col("source_line")), "sibling_on_line")
+        .when(~F.col("topic").eqNullSafe(F.col("source_topic")), "lookalike_elsewhere")
+        .otherwise("other")
+    )
     return wrong.groupBy("run", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -275,15 +287,21 @@ def usage_mined(rec: Record) -> DataFrame:
 
 
 def disconnection_filter(rec: Record) -> DataFrame:
-    """Queries whose last slot is found by the lexical or dense top k although the first slot's cards are hidden."""
-    last = rec.labels.groupBy("query_id").agg(F.max("slot").alias("slot"))
-    both = rec.lexical_top(K).select("query_id", "card_id").union(rec.dense_top(K).select("query_id", "card_id")).distinct()
-    first = rec.labels.groupBy("query_id").agg(F.min("slot").alias("slot"))
-    hidden = rec.labels.join(first, ["query_id", "slot"], "left_semi").select("query_id", "card_id")
-    seen = both.join(hidden, ["query_id", "card_id"], "left_anti")
-    hit = seen.join(rec.labels.join(last, ["query_id", "slot"], "left_semi").select("query_id", "card_id"), ["query_id", "card_id"], "left_semi").select("query_id").distinct()
-    hit = hit.withColumn("dropped", F.lit("single_hop"))
-    return last.join(hit, "query_id", "left").select("query_id", F.coalesce("dropped", F.lit("kept")).alias("dropped"))
+    """Queries of several slots whose last slot the lexical or dense top k finds with the first slot's cards hidden.
+
+    Cards are hidden before the cut, so the lists fill up to k. The other query of a pair
+    (two neighbouring items) of which one is dropped is dropped with it.
+    """
+    ends = rec.labels.groupBy("query_id").agg(F.min("slot").alias("first"), F.max("slot").alias("last")).where("first <> last")
+    ends = written(ends, "ends")
+    hidden = rec.labels.join(ends, "query_id").where("slot = first").select("query_id", "card_id")
+    wanted = rec.labels.join(ends, "query_id").where("slot = last").select("query_id", "card_id")
+    tops = rec.lexical_top(K, without=hidden).select("query_id", "card_id").union(rec.dense_top(K, without=hidden).select("query_id", "card_id"))
+    single = tops.join(wanted, ["query_id", "card_id"], "left_semi").select("query_id").distinct().withColumn("single", F.lit(True))
+    d = ends.select("query_id").join(single, "query_id", "left").withColumn("pair", F.floor(F.col("query_id") / 2))
+    bad = d.where("single").select("pair").distinct().withColumn("bad", F.lit(True))
+    state = F.when(F.col("single"), "single_hop").when(F.col("bad"), "pair_dropped").otherwise("kept")
+    return d.join(bad, "pair", "left").select("query_id", state.alias("dropped"))
 
 
 def link_fidelity(rec: Record) -> DataFrame:
@@ -296,11 +314,18 @@ def link_fidelity(rec: Record) -> DataFrame:
 
 
 def rank_bias(rec: Record) -> DataFrame:
-    """Share of relevant cards that recorded links reach, inside and outside the first three of the incumbent."""
-    linked = rec.text_edges.select(F.col("dst").alias("card_id")).distinct().withColumn("linked", F.lit(1))
-    top3 = _rankings(rec).where("run = 'bm25' and rank <= 3").select("query_id", "card_id", F.lit(True).alias("in_top"))
-    rows = rec.labels.join(top3, ["query_id", "card_id"], "left").join(linked, "card_id", "left")
-    return rows.groupBy(F.coalesce("in_top", F.lit(False)).alias("in_top")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("linked", F.lit(0))).alias("linked"))
+    """Are recorded links those that the incumbent shows anyway: the share of recorded parents of a query's source card
+    in the first three, against that of its true but unrecorded support, and their ratio."""
+    recorded = rec.text_edges.select("src", "dst").distinct()
+    true = rec.versions.where("supersedes_id is not null").select(F.col("card_id").alias("src"), F.col("supersedes_id").alias("dst"))
+    links = recorded.withColumn("recorded", F.lit(True)).unionByName(true.join(recorded, ["src", "dst"], "left_anti").withColumn("recorded", F.lit(False)))
+    top3 = _rankings(rec).where("run = 'bm25' and rank <= 3").select("query_id", F.col("card_id").alias("dst"), F.lit(True).alias("shown"))
+    rows = _sources(rec).select("query_id", F.col("source_card").alias("src")).join(links, "src").join(top3, ["query_id", "dst"], "left")
+    part = lambda flag: [F.count_if(flag).alias("n"), F.count_if(flag & F.coalesce("shown", F.lit(False))).alias("hit")]
+    (n_rec, hit_rec), (n_un, hit_un) = part(F.col("recorded")), part(~F.col("recorded"))
+    one = rows.agg(n_rec.alias("n_recorded"), hit_rec.alias("hit_recorded"), n_un.alias("n_unrecorded"), hit_un.alias("hit_unrecorded"))
+    rate = lambda h, n: F.col(h) / F.greatest(F.col(n), F.lit(1))
+    return one.select("*", F.round(F.try_divide(rate("hit_recorded", "n_recorded"), rate("hit_unrecorded", "n_unrecorded")), 6).alias("ratio"))
 
 
 NAMES = [
@@ -377,6 +402,16 @@ rest AS (
   FROM versions WHERE card_id NOT IN (SELECT card_id FROM needles)),
 sz AS (SELECT (SELECT count(*) FROM versions) AS total, (SELECT count(*) FROM needles) AS pinned)
 """
+DROPPED = r"""
+, ends AS (SELECT query_id, min(slot) AS lo, max(slot) AS hi FROM labels GROUP BY 1 HAVING min(slot) <> max(slot)),
+hidden AS (SELECT query_id, card_id FROM labels JOIN ends USING (query_id) WHERE slot = lo),
+tops AS (
+  SELECT query_id, card_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, card_id) AS k FROM lex_seen ANTI JOIN hidden USING (query_id, card_id)) WHERE k <= 10
+  UNION SELECT query_id, card_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, card_id) AS k FROM dense_seen ANTI JOIN hidden USING (query_id, card_id)) WHERE k <= 10),
+single AS (SELECT DISTINCT t.query_id FROM tops t JOIN labels l ON l.query_id = t.query_id AND l.card_id = t.card_id JOIN ends e ON e.query_id = t.query_id WHERE l.slot = e.hi),
+dropped AS (
+  SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM single) THEN 'single_hop' WHEN query_id // 2 IN (SELECT query_id // 2 FROM single) THEN 'pair_dropped' ELSE 'kept' END AS dropped FROM ends)
+"""
 RIGHT = r"""
 , pairs AS (SELECT a.mrr >= 0.5 AS right_a, b.mrr >= 0.5 AS right_b FROM (SELECT * FROM mrr WHERE run = 'bm25') a JOIN (SELECT * FROM mrr WHERE run = 'fresh') b USING (query_id)),
 mc AS (SELECT count(*) FILTER (right_a AND NOT right_b) AS only_a, count(*) FILTER (NOT right_a AND right_b) AS only_b FROM pairs)
@@ -445,11 +480,11 @@ SELECT 'all' AS label, count(*) FILTER (s > 0) AS concordant, count(*) FILTER (s
     "abstention_rates": with_text(", best AS (SELECT * FROM first_stage WHERE rank = 1) SELECT query_id IN (SELECT query_id FROM labels) AS answerable, count(*) AS n, count(*) FILTER (score >= (SELECT quantile_cont(score, 0.1) FROM best)) AS answered FROM best GROUP BY 1"),
     "hard_checks": with_text(HARD + "SELECT * FROM hard"),
     "distractor_taxonomy": with_text("""
-, lines AS (SELECT DISTINCT query_id, line FROM labels JOIN versions USING (card_id)),
-wrong AS (SELECT * FROM rankings ANTI JOIN labels USING (query_id, card_id))
-SELECT run, CASE WHEN superseded_at IS NOT NULL THEN 'superseded_version' WHEN l.line IS NOT NULL THEN 'sibling_on_line'
-                 WHEN w.query_id IN (SELECT query_id FROM labels) THEN 'other_line' ELSE 'other' END AS kind, count(*) AS n
-FROM wrong w JOIN versions v USING (card_id) LEFT JOIN lines l ON l.query_id = w.query_id AND l.line = v.line GROUP BY 1, 2"""),
+, sources AS (SELECT query_id, min(card_id) AS source_card FROM labels GROUP BY 1),
+wrong AS (SELECT * FROM rankings ANTI JOIN labels USING (query_id, card_id) WHERE rank = 1)
+SELECT run, CASE WHEN v.superseded_at IS NOT NULL THEN 'superseded_version' WHEN d.source IS NOT DISTINCT FROM sd.source THEN 'sibling_on_line'
+                 WHEN d.lang IS DISTINCT FROM sd.lang THEN 'lookalike_elsewhere' ELSE 'other' END AS kind, count(*) AS n
+FROM wrong w JOIN sources s USING (query_id) JOIN versions v ON v.card_id = w.card_id JOIN documents d ON d.doc_id = w.card_id JOIN documents sd ON sd.doc_id = s.source_card GROUP BY 1, 2"""),
     "scale_subset": with_text(SUBSET + "SELECT card_id FROM needles UNION ALL SELECT card_id FROM rest, sz WHERE k <= greatest(0, total // 2 - pinned)"),
     "scale_curve": with_text(SUBSET + """
 , shares AS (SELECT unnest([25, 50, 100])::BIGINT AS share),
@@ -466,16 +501,17 @@ SELECT slice, count(*) AS n, round(avg(delta), 6) AS mean FROM deltas JOIN tags
 h AS (SELECT sum(after_as_of + superseded_above)::BIGINT AS fails FROM hard WHERE run = 'fresh')
 SELECT fails, worse::BIGINT AS worse, CASE WHEN fails > 0 OR worse > 0 THEN 'BLOCK' WHEN lo > 0 THEN 'SHIP AS DEFAULT' ELSE 'SHIP BEHIND A FLAG' END AS decision FROM b, h"""),
     "usage_mined": with_text(", three AS (SELECT r.*, l.card_id IS NULL AS miss FROM run_a r LEFT JOIN labels l ON r.query_id = l.query_id AND r.card_id = l.card_id WHERE rank <= 3) SELECT query_id, arg_min(card_id, miss::INT * 10 + rank) AS card_id, 2.0::DOUBLE AS grade FROM three GROUP BY 1"),
-    "disconnection_filter": with_text("""
-, ends AS (SELECT query_id, min(slot) AS lo, max(slot) AS hi FROM labels GROUP BY 1),
-both_tops AS (SELECT query_id, card_id FROM lex_all WHERE rank <= 10 UNION SELECT query_id, card_id FROM dense_all WHERE rank <= 10),
-found AS (
-  SELECT DISTINCT t.query_id FROM both_tops t JOIN labels l ON l.query_id = t.query_id AND l.card_id = t.card_id JOIN ends e ON e.query_id = t.query_id
-  WHERE l.slot = e.hi AND l.slot <> e.lo)
-SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM found) THEN 'single_hop' ELSE 'kept' END AS dropped FROM ends"""),
+    "disconnection_filter": with_text(DROPPED + "SELECT query_id, dropped FROM dropped"),
     "link_fidelity": with_text("""
 , rec AS (SELECT DISTINCT src, dst FROM text_edges), tru AS (SELECT card_id AS src, supersedes_id AS dst FROM versions WHERE supersedes_id IS NOT NULL),
 c AS (SELECT (SELECT count(*) FROM tru JOIN rec USING (src, dst)) AS shared, (SELECT count(*) FROM tru) AS n_true, (SELECT count(*) FROM rec) AS n_recorded)
 SELECT shared, n_true, n_recorded, round(shared / nullif(n_true, 0)::DOUBLE, 6) AS recall, round(shared / nullif(n_recorded, 0)::DOUBLE, 6) AS precision FROM c"""),
-    "rank_bias": with_text("SELECT t.card_id IS NOT NULL AS in_top, count(*) AS n, count(*) FILTER (l.card_id IN (SELECT dst FROM text_edges)) AS linked FROM labels l LEFT JOIN (SELECT * FROM run_a WHERE rank <= 3) t ON t.query_id = l.query_id AND t.card_id = l.card_id GROUP BY 1"),
+    "rank_bias": with_text("""
+, sources AS (SELECT query_id, min(card_id) AS src FROM labels GROUP BY 1),
+rec AS (SELECT DISTINCT src, dst FROM text_edges), tru AS (SELECT card_id AS src, supersedes_id AS dst FROM versions WHERE supersedes_id IS NOT NULL),
+links AS (SELECT *, true AS recorded FROM rec UNION ALL SELECT *, false FROM (SELECT * FROM tru EXCEPT SELECT * FROM rec)),
+rows AS (SELECT recorded, t.card_id IS NOT NULL AS shown FROM sources JOIN links USING (src) LEFT JOIN (SELECT * FROM run_a WHERE rank <= 3) t ON t.query_id = sources.query_id AND t.card_id = links.dst),
+c AS (
+  SELECT count(*) FILTER (recorded) AS n_recorded, count(*) FILTER (recorded AND shown) AS hit_recorded, count(*) FILTER (NOT recorded) AS n_unrecorded, count(*) FILTER (NOT recorded AND shown) AS hit_unrecorded FROM rows)
+SELECT *, round((hit_recorded / greatest(n_recorded, 1)::DOUBLE) / nullif(hit_unrecorded / greatest(n_unrecorded, 1)::DOUBLE, 0), 6) AS ratio FROM c"""),
 }

@@ -106,11 +106,18 @@ class Record:
         dot = F.aggregate(F.zip_with("qv", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
         return cards.crossJoin(small(q)).select("query_id", F.col("vec_id").alias("card_id"), F.round(dot, ranking.PLACES).alias("score"))
 
-    def lexical_top(self, n: int, pool: bool = False) -> DataFrame:
-        return ranking.top(asof.masked(self.bm25.where("score > 0"), self.queries, self.versions, pool).select("query_id", "card_id", "score"), n)
-
-    def dense_top(self, n: int, pool: bool = False) -> DataFrame:
-        return ranking.top(asof.masked(self.dense, self.queries, self.versions, pool).select("query_id", "card_id", "score"), n)
+    def _top(self, scores: DataFrame, n: int, pool: bool, without: DataFrame | None) -> DataFrame:
+        seen = asof.masked(scores, self.queries, self.versions, pool).select("query_id", "card_id", "score")
+        if without is not None:  # a few labelled pairs
+            seen = seen.join(small(without), ["query_id", "card_id"], "left_anti")
+        return ranking.top(seen, n)
+
+    def lexical_top(self, n: int, pool: bool = False, without: DataFrame | None = None) -> DataFrame:
+        """The n best by BM25 among the cards of a query's time; pairs of ``without`` (query_id, card_id) are hidden."""
+        return self._top(self.bm25.where("score > 0"), n, pool, without)
+
+    def dense_top(self, n: int, pool: bool = False, without: DataFrame | None = None) -> DataFrame:
+        return self._top(self.dense, n, pool, without)
 
     def rrf(self, n: int, pool: bool = False) -> DataFrame:
         return ranking.fused([self.lexical_top(n, pool), self.dense_top(n, pool)])
