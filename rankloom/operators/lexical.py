@@ -7,7 +7,7 @@ small table that Spark broadcasts by its size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
@@ -48,9 +48,12 @@ def inverse_frequencies(posts: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def bm25(terms: DataFrame, posts: DataFrame, idf: DataFrame, stats: DataFrame) -> DataFrame:
-    """query_id, card_id, score for every pair that shares a term."""
-    hit = terms.join(posts, "term").join(idf.select("term", "idf"), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+def bm25(terms: DataFrame, posts: DataFrame, idf: DataFrame, stats: DataFrame, keep: Column | None = None) -> DataFrame:
+    """query_id, card_id, score for every pair that shares a term; only pairs for which ``keep`` holds, on the columns of terms and posts."""
+    hit = terms.join(posts, "term")
+    if keep is not None:
+        hit = hit.where(keep)
+    hit = hit.join(idf.select("term", "idf"), "term").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (F.lit(1 - B) + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "card_id").agg(F.round(F.sum(part), PLACES).alias("score"))
 

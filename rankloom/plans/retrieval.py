@@ -92,11 +92,11 @@ def _expanded(rec: Record, first: DataFrame) -> DataFrame:
     """First stage for each query with its feedback terms added."""
     seen = first.where(F.col("rank") <= 5).select("card_id").distinct()
     own = written(lexical.postings(rec.toks.join(seen, "card_id", "left_semi")), "feedback")
-    needed = lexical.postings(rec.toks, own.select("term").distinct())
-    extra = lexical.feedback_terms(first, own, lexical.inverse_frequencies(needed, rec.stats), rec.terms)
-    terms = rec.terms.unionByName(extra)
-    lex = asof.masked(rec.bm25_of(terms).where("score > 0"), rec.queries, rec.versions, pool=True)
-    return ranking.ranked(ranking.fused([ranking.top(lex.select("query_id", "card_id", "score"), 150), rec.dense_top(150, pool=True)]))
+    # the postings of all words that may be added, and of the queries' own, serve both steps
+    posts = rec.postings_of(own.select("term").union(rec.terms.select("term")).distinct())
+    extra = lexical.feedback_terms(first, own, lexical.inverse_frequencies(posts, rec.stats), rec.terms)
+    lex = rec.bm25_of(rec.terms.unionByName(extra), posts, pool=True).where("score > 0")
+    return ranking.ranked(ranking.fused([ranking.top(lex, 150), rec.dense_top(150, pool=True)]))
 
 
 def two_step_topk(rec: Record) -> DataFrame:

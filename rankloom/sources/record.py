@@ -14,18 +14,64 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators import asof, lexical, ranking
+from rankloom.operators import asof, lexical, ranking, vectors
 from rankloom.storage import small, written
 
 START = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
 class Record:
-    """Lazily built frames over one folder of tables. All are plans; nothing is computed here."""
+    """Frames over one folder of tables, built when first asked for.
+
+    Most are plans. Those that many queries read (labels, statistics, postings, mentions)
+    are computed once and stored.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
+    #: Frames that a record can be made from, with their columns.
+    FRAMES = {
+        "versions": ("card_id", "line", "committed_at", "supersedes_id"),
+        "texts": ("card_id", "txt"),
+        "queries": ("query_id", "qtext", "as_of", "intent"),
+        "labels": ("query_id", "card_id", "grade", "slot"),
+        "vectors": ("card_id", "embedding"),
+        "query_vectors": ("query_id", "qv"),
+        "text_edges": ("src", "dst", "kind", "valid_from"),
+        "entity_mentions": ("card_id", "entity_id", "surface", "role"),
+        "entity_facts": ("card_id", "subj", "rel", "obj", "value", "valid_from", "valid_until"),
+    }
+
+    @classmethod
+    def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> Record:
+        """A record of one's own: any of FRAMES by name, each with at least its columns.
+
+        Everything on text cards works on it: all scorers, metrics, judges and reports.
+        What is not given is empty (labels, vectors, edges, entities). Without vectors the
+        dense side of a fusion finds nothing.
+        """
+        rec = cls(spark, "")
+        for name, df in frames.items():
+            missing = set(cls.FRAMES[name]) - set(df.columns)
+            if missing:
+                raise ValueError(f"{name} lacks {', '.join(sorted(missing))}")
+            setattr(rec, name, asof.with_superseded(df.select(*cls.FRAMES[name])) if name == "versions" else df)
+        card = dict(frames["versions"].dtypes)["card_id"]
+        query = dict(frames["queries"].dtypes)["query_id"] if "queries" in frames else "bigint"
+        empty = {
+            "labels": f"query_id {query}, card_id {card}, grade double, slot bigint",
+            "vectors": f"card_id {card}, embedding array<float>",
+            "query_vectors": f"query_id {query}, qv array<float>",
+            "text_edges": f"src {card}, dst {card}, kind string, valid_from timestamp_ntz",
+            "entity_mentions": f"card_id {card}, entity_id string, surface string, role string",
+            "entity_facts": f"card_id {card}, subj string, rel string, obj string, value string, valid_from timestamp_ntz, valid_until timestamp_ntz",
+        }
+        for name, schema in empty.items():
+            if name not in frames:
+                setattr(rec, name, spark.createDataFrame([], schema))
+        return rec
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -85,39 +131,64 @@ class Record:
     def terms(self) -> DataFrame:
         return lexical.query_terms(self.queries)
 
-    def bm25_of(self, terms: DataFrame) -> DataFrame:
-        # stored: idf and scores both read these few postings, and the texts are split once
-        posts = written(lexical.postings(self.toks, terms), "postings")
-        return lexical.bm25(terms, posts, lexical.inverse_frequencies(posts, self.stats), self.stats)
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """card_id, dl, term, tf and the card's dates, of the given terms; stored, as idf and scores both read them and the texts are split once."""
+        dates = self.versions.select("card_id", "committed_at", "superseded_at")
+        return written(lexical.postings(self.toks, terms).join(dates, "card_id"), "postings")
+
+    @cached_property
+    def posts(self) -> DataFrame:
+        return self.postings_of(self.terms)
+
+    def _timed(self, terms: DataFrame) -> DataFrame:
+        return terms.join(small(self.queries.select("query_id", "as_of", "intent")), "query_id")
+
+    def bm25_of(self, terms: DataFrame, posts: DataFrame, pool: bool | None = None) -> DataFrame:
+        """Scores of all cards, or (``pool`` given) of those that a query's time allows, masked before anything is summed."""
+        idf = lexical.inverse_frequencies(posts, self.stats)
+        if pool is None:
+            return lexical.bm25(terms, posts, idf, self.stats)
+        keep = asof.in_pool(F.col("as_of"), F.col("intent")) if pool else asof.in_snapshot(F.col("as_of"))
+        return lexical.bm25(self._timed(terms), posts, idf, self.stats, keep)
 
     @cached_property
     def bm25(self) -> DataFrame:
-        return self.bm25_of(self.terms)
+        return self.bm25_of(self.terms, self.posts)
 
     @cached_property
-    def dense(self) -> DataFrame:
-        """query_id, card_id, score: dot products of the item's vector with the vectors of cards.
+    def vectors(self) -> DataFrame:
+        """card_id, embedding."""
+        e = self.table("embeddings").select(F.col("vec_id").alias("card_id"), "embedding")
+        return e.join(self.versions.select("card_id"), "card_id", "left_semi")
 
-        The vectors of the stated queries are broadcast; every other vector is read once.
-        """
-        e = self.table("embeddings")
-        q = e.join(self.queries.select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-        cards = e.join(self.versions.select(F.col("card_id").alias("vec_id")), "vec_id", "left_semi")
+    @cached_property
+    def query_vectors(self) -> DataFrame:
+        """query_id, qv: here the vector with the item's number."""
+        e = self.table("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+        return e.join(small(self.queries.select("query_id")), "query_id", "left_semi")
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        """query_id, card_id, score: all dot products of the stated queries' vectors with the cards'."""
         dot = F.aggregate(F.zip_with("qv", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-        return cards.crossJoin(small(q)).select("query_id", F.col("vec_id").alias("card_id"), F.round(dot, ranking.PLACES).alias("score"))
+        return self.vectors.crossJoin(small(self.query_vectors)).select("query_id", "card_id", F.round(dot, ranking.PLACES).alias("score"))
 
-    def _top(self, scores: DataFrame, n: int, pool: bool, without: DataFrame | None) -> DataFrame:
-        seen = asof.masked(scores, self.queries, self.versions, pool).select("query_id", "card_id", "score")
-        if without is not None:  # a few labelled pairs
-            seen = seen.join(small(without), ["query_id", "card_id"], "left_anti")
-        return ranking.top(seen, n)
+    def _hidden(self, seen: DataFrame, without: DataFrame | None) -> DataFrame:
+        # the pairs are a few labelled ones
+        return seen if without is None else seen.join(small(without), ["query_id", "card_id"], "left_anti")
 
     def lexical_top(self, n: int, pool: bool = False, without: DataFrame | None = None) -> DataFrame:
         """The n best by BM25 among the cards of a query's time; pairs of ``without`` (query_id, card_id) are hidden."""
-        return self._top(self.bm25.where("score > 0"), n, pool, without)
+        return ranking.top(self._hidden(self.bm25_of(self.terms, self.posts, pool).where("score > 0"), without), n)
 
     def dense_top(self, n: int, pool: bool = False, without: DataFrame | None = None) -> DataFrame:
-        return self._top(self.dense, n, pool, without)
+        """The n best by dot product. Beyond a stated number of queries, or with hidden pairs, all products are made."""
+        q = self.query_vectors.join(self.queries.select("query_id", "as_of", "intent"), "query_id")
+        if without is None and (known := q.limit(vectors.MOST_QUERIES + 1).collect()) and len(known) <= vectors.MOST_QUERIES:
+            best = vectors.best(self.vectors.join(self.versions.select("card_id", "committed_at", "superseded_at"), "card_id"), known, n, pool)
+            return ranking.top(best.select("query_id", "card_id", F.round("score", ranking.PLACES).alias("score")), n)
+        seen = asof.masked(self.dense, self.queries, self.versions, pool).select("query_id", "card_id", "score")
+        return ranking.top(self._hidden(seen, without), n)
 
     def rrf(self, n: int, pool: bool = False) -> DataFrame:
         return ranking.fused([self.lexical_top(n, pool), self.dense_top(n, pool)])
@@ -138,6 +209,21 @@ class Record:
         e = self.versions.select("card_id", "committed_at", F.lag("card_id").over(line).alias("dst"))
         return e.where("dst is not null").select(F.col("card_id").alias("src"), "dst", F.lit("citation").alias("kind"), F.col("committed_at").alias("valid_from"))
 
+    @cached_property
+    def entity_mentions(self) -> DataFrame:
+        """card_id, entity_id, surface, role: long words that 2 to 20 cards share stand for names."""
+        names = self.toks.select("card_id", F.explode(F.array_distinct(F.filter("w", lambda x: F.length(x) >= 12))).alias("entity_id"))
+        few = names.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 20").select("entity_id")
+        return written(names.join(few, "entity_id", "left_semi").select("card_id", "entity_id", F.col("entity_id").alias("surface"), F.lit("mentions").alias("role")), "mentions")
+
+    @cached_property
+    def entity_facts(self) -> DataFrame:
+        """card_id, subj, rel, obj, value, valid_from, valid_until: neighbours in a card's sorted names, as long as the card is current."""
+        before = Window.partitionBy("card_id").orderBy("entity_id")
+        pairs = self.entity_mentions.select("card_id", F.lag("entity_id").over(before).alias("subj"), F.lit("next_to").alias("rel"), F.col("entity_id").alias("obj"), F.lit(None).cast("string").alias("value"))
+        at = self.versions.select("card_id", F.col("committed_at").alias("valid_from"), F.col("superseded_at").alias("valid_until"))
+        return pairs.where("subj is not null").join(at, "card_id")
+
     def boosted(self) -> DataFrame:
         base = self.rrf(150).join(self.queries.select("query_id", "as_of"), "query_id")
         deg = asof.in_degrees(self.text_edges, self.queries)
