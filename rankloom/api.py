@@ -1,7 +1,14 @@
 """Scorers by name, guarded, and a report that compares two of them.
 
-A scorer is a function of a record that gives a ranking (query_id, card_id, score, rank).
-Its flags say which structure it reads, so that it is not judged by labels mined from it.
+A scorer is a function of a record (``Record(spark, folder)`` or ``Record.from_frames``)
+that gives a ranking: query_id, card_id, score, rank, top_score (what an abstaining run
+compares with its threshold) and chain_pos (the scorer's own order of evidence, null where
+it claims none). Its flags say which structure it reads, so that it is not judged by
+labels mined from it.
+
+What a model would do is a function to hand in: ``embed.Embedder`` makes vectors,
+``networks.reranked`` takes the scorer of candidate texts, ``walkers.onto_llm_walk`` the
+walker and ``judge.duel`` the judge.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators import guards, metrics, ranking, stats
+from rankloom.operators import guards, metrics, ranking, stats, walkers
 from rankloom.plans import retrieval
 from rankloom.sources.record import Record
 from rankloom.storage import written
@@ -52,6 +59,11 @@ register("graph_boost", retrieval.graph_boost_topk, uses_graph=True)
 register("rerank", _late("networks", "rerank_topk"))
 register("first_stage", retrieval.first_stage)
 register("two_step", retrieval.two_step_topk)
+register("dag_walk", walkers.dag_walk, uses_graph=True)
+register("dag_walk_blind", lambda rec: walkers.dag_walk(rec, blind=True), uses_graph=True)
+register("onto_walk", walkers.onto_walk, uses_entities=True)
+register("onto_walk_blind", lambda rec: walkers.onto_walk(rec, blind=True), uses_entities=True)
+register("onto_llm_walk", walkers.onto_llm_walk, uses_entities=True)
 register("hop_split", retrieval.hop_split_topk, uses_graph=True)
 
 
@@ -61,7 +73,11 @@ def rankings(rec: Record, name: str, label_source: str = "planted", k: int = 10)
     guards.check_circular(s.uses_graph, s.uses_entities, label_source)
     out = s.run(rec)
     guards.check_truth(out)
-    return out.where(F.col("rank") <= k).select(F.lit(name).alias("run"), "query_id", "card_id", "rank")
+    out = out.where(F.col("rank") <= k)
+    if "top_score" not in out.columns:
+        best = out.where("rank = 1").select("query_id", F.col("score").alias("top_score"))
+        out = out.join(best, "query_id").withColumn("chain_pos", F.lit(None).cast("long"))
+    return out.select(F.lit(name).alias("run"), "query_id", "card_id", "score", "rank", "top_score", "chain_pos")
 
 
 def compare(rec: Record, a: str, b: str, label_source: str = "planted", k: int = 10) -> dict:

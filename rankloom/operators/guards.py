@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from rankloom import storage
+
 GRAPH_LABELS = frozenset({"dag_mined"})
 ENTITY_LABELS = frozenset({"multihop"})
 
@@ -25,10 +27,25 @@ class TruthLeak(ValueError):
 
 
 def reads(df: DataFrame) -> set[str]:
-    """Names of the tables and files below a frame."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    files = {part.removesuffix(".parquet") for f in df.inputFiles() for part in f.split("/") if part.endswith(".parquet") or part.startswith("true_")}
-    return files | set(re.findall(r"SubqueryAlias (?:\w+\.)*(\w+)", plan)) | set(re.findall(r"\b(true_\w+)#", plan))
+    """Names of the tables and files below a frame, through the tables that were stored on the way."""
+    out, open_, seen, known = set(), [df], set(), stored()
+    while open_:
+        at = open_.pop()
+        plan = at._jdf.queryExecution().analyzed().toString()
+        out |= set(re.findall(r"SubqueryAlias (?:\w+\.)*(\w+)", plan)) | set(re.findall(r"\b(true_\w+)#", plan))
+        for f in at.inputFiles():
+            parts = f.split("/")
+            out |= {part.removesuffix(".parquet") for part in parts if part.endswith(".parquet") or part.startswith("true_")}
+            key = next((p for p in parts if p in known), None)
+            if key and key not in seen:
+                seen.add(key)
+                open_.append(known[key])
+    return out
+
+
+def stored() -> dict[str, DataFrame]:
+    """What stored tables were made from, by the last part of their paths."""
+    return {path.rsplit("/", 1)[-1]: df for path, df in storage.made.items()}
 
 
 def check_circular(uses_graph: bool, uses_entities: bool, label_source: str) -> None:

@@ -211,14 +211,23 @@ def known_item_queries(rec: Record) -> DataFrame:
     return picked.groupBy("card_id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda x: x["w"])).alias("qtext"))
 
 
-def rerank_topk(rec: Record) -> DataFrame:
-    """Current cards among the RRF of 150 each, the best 50, by the share of query words in the whole text; ``api`` takes other scorers."""
+def shared_words(pairs: DataFrame) -> DataFrame:
+    """The share of query words that a text has: the offline scorer of candidates."""
+    qw = F.array_distinct(tokens(F.col("qtext")))
+    return pairs.select("query_id", "card_id", (F.size(F.array_intersect(qw, tokens(F.col("txt")))) / F.size(qw)).alias("score"))
+
+
+def reranked(rec: Record, k: int = 10, scorer=shared_words) -> DataFrame:
+    """Current cards among the RRF of 150 each, the best 50, by ``scorer``: a function of (query_id, qtext, card_id, txt)
+    that gives (query_id, card_id, score), such as a cross-encoder in Arrow batches."""
     fused = rec.rrf(150).join(rec.queries, "query_id").join(rec.versions, "card_id").where(asof.current(F.col("as_of")))
-    best = ranking.top(fused.select("query_id", "card_id", "score"), 50)
-    q = rec.queries.select("query_id", F.array_distinct(tokens(F.col("qtext"))).alias("qw"))
-    both = best.select("query_id", "card_id").join(q, "query_id").join(rec.texts, "card_id")
-    shared = F.size(F.array_intersect("qw", tokens(F.col("txt")))) / F.size("qw")
-    return ranking.top(both.select("query_id", "card_id", F.round(shared, 6).alias("score")), 10)
+    best = ranking.top(fused.select("query_id", "card_id", "score"), 50).select("query_id", "card_id")
+    both = best.join(rec.queries.select("query_id", "qtext"), "query_id").join(rec.texts, "card_id")
+    return ranking.top(scorer(both).select("query_id", "card_id", F.round("score", 6).alias("score")), k)
+
+
+def rerank_topk(rec: Record) -> DataFrame:
+    return reranked(rec)
 
 
 # ---- extraction ----------------------------------------------------------------------

@@ -4,17 +4,30 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 
+from rankloom.storage import remove
 
-def replace_source(df: DataFrame, path: str) -> None:
+
+def replace_source(df: DataFrame, path: str, sources: Iterable[str] | None = None) -> None:
     """Writes ``df`` so that only the partitions of its ``source`` values are replaced; other sources stay.
 
-    A failed job leaves the old partitions, as files are moved into place on commit.
+    ``sources`` names the sources that are replaced: one of them without a row in ``df``
+    loses its old rows. A failed job leaves the old partitions, as files are moved into
+    place on commit.
     """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    if sources is not None:
+        there = {r["source"] for r in df.select("source").distinct().collect()}  # a row per source
+        for name in set(sources) - there:
+            remove(df.sparkSession, f"{path}/source={quote(name, safe=PLAIN)}")
+
+
+#: Characters that partition folders keep as they are.
+PLAIN = " !$&()+,-.;<>@_`|~"
 
 
 def clean(value):

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: What each stored table was made from, so that guards see through it.
+made: dict[str, DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,11 +65,13 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     path = path or new_path(spark, label)
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
+    made[path] = df
     return spark.read.schema(schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
+    made.pop(path, None)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -18,7 +18,7 @@ def test_graph_scorers_are_refused_on_graph_labels(spark, sf_dir):
 
 def test_scorers_can_be_added(spark, sf_dir):
     api.register("mine", lambda rec: rec.dense_top(3))
-    assert api.rankings(Record(spark, sf_dir), "mine").columns == ["run", "query_id", "card_id", "rank"]
+    assert api.rankings(Record(spark, sf_dir), "mine").columns == ["run", "query_id", "card_id", "score", "rank", "top_score", "chain_pos"]
 
 
 def test_command_line(capsys, spark, sf_dir):
