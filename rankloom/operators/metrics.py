@@ -100,3 +100,12 @@ def chain_tau(rankings: DataFrame, labels: DataFrame, times: DataFrame) -> DataF
     lower = F.when(F.col("a.rank") < F.col("b.rank"), 1).when(F.col("a.rank") > F.col("b.rank"), -1).otherwise(0)
     pairs = a.join(b, same).select("a.run", "a.query_id", (later * lower).alias("s")).where("s <> 0")
     return pairs.groupBy("run", "query_id").agg(F.round(F.avg("s"), 6).alias("tau"), F.min((F.col("s") > 0).cast("int")).alias("in_order"))
+
+
+def order_exact(rankings: DataFrame, labels: DataFrame, times: DataFrame) -> DataFrame:
+    """run, query_id, exact: whether every slot was found and no two of them stand against the order of evidence."""
+    wanted = _for_each_run(labels.groupBy("query_id").agg(F.count_distinct("slot").alias("wanted")), rankings)
+    got = hits(rankings, labels).groupBy("run", "query_id").agg(F.count_distinct("slot").alias("got"))
+    tau = chain_tau(rankings, labels, times).select("run", "query_id", "in_order")
+    joined = wanted.join(got, ["run", "query_id"], "left").join(tau, ["run", "query_id"], "left")
+    return joined.select("run", "query_id", (F.coalesce(F.col("got") == F.col("wanted"), F.lit(False)) & (F.coalesce("in_order", F.lit(1)) == 1)).alias("exact"))

@@ -74,3 +74,13 @@ def planted_queries(corpus: DataFrame, support: DataFrame, share: float = 0.1, s
     one = support.join(q.select(F.col("query_id").alias("src")), "src", "left_semi").select(F.col("src").alias("query_id"), F.col("dst").alias("card_id"), F.lit(2.0).alias("grade"))
     two = one.join(support.select(F.col("src").alias("card_id"), F.col("dst").alias("far")), "card_id").select("query_id", F.col("far").alias("card_id"), F.lit(1.0).alias("grade"))
     return q, one.union(two).groupBy("query_id", "card_id").agg(F.max("grade").alias("grade"))
+
+
+def paraphrased(terms: Column, key: Column, seed: int) -> Column:
+    """An array of terms in other words, joined by blanks: 62 in 100 stay, 24 lose their ends, the others become other words."""
+    def said(t: Column, i: Column) -> Column:
+        u = unit(F.lit(str(seed)), key.cast("string"), i.cast("string"))
+        short = F.substring(t, F.lit(1), F.greatest(F.lit(5), F.length(t) - 2))
+        return F.when(u < 0.62, t).when(u < 0.86, short).otherwise(F.substring(F.reverse(t), 1, 6))
+
+    return F.array_join(F.transform(terms, said), " ")
