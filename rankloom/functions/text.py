@@ -15,7 +15,7 @@ def tokens(c: Column) -> Column:
 
 
 def surface_key(c: Column) -> Column:
-    """Case, blanks and punctuation fold together: ``Kavrel-7`` equals ``Kavrel 7``."""
+    """Case, blanks and punctuation fold together: ``Harbor-31`` equals ``harbor 31``."""
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
@@ -29,7 +29,7 @@ def class_key(c: Column) -> Column:
 
 
 def leading_value(c: Column) -> Column:
-    """A leading decimal in two places, else null: ``0.74 score`` gives ``0.74``, ``Kavrel-7`` nothing."""
+    """A leading decimal in two places, else null: ``0.74 score`` gives ``0.74``, ``Harbor-31`` nothing."""
     found = F.regexp_extract(c, r"^\s*(\d*\.\d+)(?![\d.])", 1)
     return F.when(found != "", F.format_string("%.2f", found.cast("double")))
 

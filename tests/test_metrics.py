@@ -13,18 +13,22 @@ def labels(spark, *rows):
 
 
 def test_slots_and_chain(spark):
-    lab = labels(spark, ("a", 0), ("b1", 1), ("b2", 1), ("c", 2))
-    r = runs(spark, x={1: ["a", "q", "b2"]}, y={1: ["c", "b1", "a"]})
-    got = {m.run: (round(m.slot_recall, 3), m.chain_recall) for m in metrics.slots(r, lab, 3).collect()}
-    assert got == {"x": (0.667, 0.0), "y": (1.0, 1.0)}
-    assert {m.run: m.chain_recall for m in metrics.slots(r, lab, 2).collect()}["y"] == 0.0
+    lab = labels(spark, ("m1", 0), ("m2", 0), ("k", 1), ("w", 2), ("v", 3))
+    r = runs(spark, half={1: ["z", "m2", "z2", "w"]}, all={1: ["v", "k", "m1", "z", "w"]}, none={1: ["z"]})
+    got = {m.run: (m.slot_recall, m.chain_recall, m.last_hop) for m in metrics.slots(r, lab, 5).collect()}
+    assert got == {"half": (0.5, 0.0, 0.0), "all": (1.0, 1.0, 1.0), "none": (0.0, 0.0, 0.0)}
+    assert {m.run: m.slot_recall for m in metrics.slots(r, lab, 3).collect()} == {"half": 0.25, "all": 0.75, "none": 0.0}
 
 
 def test_chain_order(spark):
-    lab = labels(spark, ("a", 0), ("b1", 1), ("c", 2))
-    at = spark.createDataFrame([(c, datetime(2025, 1, 1) + timedelta(days=d)) for c, d in (("a", 3), ("b1", 1), ("c", 2))], "card_id string, committed_at timestamp_ntz")
-    r = runs(spark, good={1: ["b1", "c", "a"]}, bad={1: ["a", "c", "b1"]}, one={1: ["a"]})
-    assert {m.run: (m.tau, m.in_order) for m in metrics.chain_tau(r, lab, at).collect()} == {"good": (1.0, 1), "bad": (-1.0, 0)}
+    lab = labels(spark, ("k", 0), ("w", 1), ("v", 2), ("u", 3))
+    days = {"k": 20, "w": 4, "v": 11, "u": 30}
+    at = spark.createDataFrame([(c, datetime(2024, 6, 1) + timedelta(days=d)) for c, d in days.items()], "card_id string, committed_at timestamp_ntz")
+    r = runs(spark, dated={1: ["w", "z", "v", "k", "u"]}, mixed={1: ["w", "k", "v", "u"]}, turned={1: ["u", "k", "v", "w"]}, part={1: ["w", "v", "k"]})
+    assert {m.run: (m.tau, m.in_order) for m in metrics.chain_tau(r, lab, at).collect()} == {
+        "dated": (1.0, 1), "mixed": (round(4 / 6, 6), 0), "turned": (-1.0, 0), "part": (1.0, 1),
+    }
+    assert {m.run: m.exact for m in metrics.order_exact(r, lab, at).collect()} == {"dated": True, "mixed": False, "turned": False, "part": False}
 
 
 def test_condensed_ignores_the_unjudged(spark):
