@@ -35,7 +35,10 @@ def first_three(hop: int, evidence: DataFrame, candidates: DataFrame) -> tuple[D
 
 
 def _first(rec) -> DataFrame:
-    return written(rec.first_stage().select("query_id", "card_id", "score", "rank"), "first")
+    """The first stage, stored once for all walks of a record."""
+    if not hasattr(rec, "first_ranking"):
+        rec.first_ranking = written(rec.first_stage().select("query_id", "card_id", "score", "rank"), "first")
+    return rec.first_ranking
 
 
 def _seen(rec, scores: DataFrame) -> DataFrame:

@@ -298,10 +298,10 @@ def disconnection_filter(rec: Record) -> DataFrame:
     wanted = rec.labels.join(ends, "query_id").where("slot = last").select("query_id", "card_id")
     tops = rec.lexical_top(K, without=hidden).select("query_id", "card_id").union(rec.dense_top(K, without=hidden).select("query_id", "card_id"))
     single = tops.join(wanted, ["query_id", "card_id"], "left_semi").select("query_id").distinct().withColumn("single", F.lit(True))
-    d = ends.select("query_id").join(single, "query_id", "left").withColumn("pair", F.floor(F.col("query_id") / 2))
-    bad = d.where("single").select("pair").distinct().withColumn("bad", F.lit(True))
+    d = ends.select("query_id").join(single, "query_id", "left").join(rec.pairs, "query_id", "left")
+    bad = d.where("single and pair_id is not null").select("pair_id").distinct().withColumn("bad", F.lit(True))
     state = F.when(F.col("single"), "single_hop").when(F.col("bad"), "pair_dropped").otherwise("kept")
-    return d.join(bad, "pair", "left").select("query_id", state.alias("dropped"))
+    return d.join(bad, "pair_id", "left").select("query_id", state.alias("dropped"))
 
 
 def link_fidelity(rec: Record) -> DataFrame:

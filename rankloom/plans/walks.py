@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from rankloom.operators import walkers
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rankloom.operators import metrics, ranking, stats, walkers
 from rankloom.operators.graph import ITERATIONS
+from rankloom.plans import retrieval
 from rankloom.plans.networks import SPLIT, _ppr_sql, _walk_sql
 from rankloom.plans.prelude import TEXT
 from rankloom.sources.record import Record
+from rankloom.storage import written
 
 
 def scorer_dag_walk(rec: Record):
@@ -29,7 +36,58 @@ def scorer_onto_llm_walk(rec: Record):
     return walkers.onto_llm_walk(rec)
 
 
-NAMES = [scorer_dag_walk, scorer_dag_walk_blind, scorer_onto_llm_walk, scorer_onto_walk, scorer_onto_walk_blind]
+#: Methods of the comparison, and the pairs of them that are tested.
+METHODS = {
+    "fresh": lambda rec: ranking.top(rec.fresh(), 10),
+    "two_step": retrieval.two_step_topk,
+    "dag_walk": walkers.dag_walk,
+    "onto_walk": walkers.onto_walk,
+    "onto_llm_walk": walkers.onto_llm_walk,
+    "dag_walk_blind": lambda rec: walkers.dag_walk(rec, blind=True),
+    "onto_walk_blind": lambda rec: walkers.onto_walk(rec, blind=True),
+}
+TESTED = [("dag_walk", "onto_walk"), ("two_step", "onto_walk"), ("two_step", "dag_walk"), ("fresh", "two_step"), ("onto_walk_blind", "onto_walk"), ("dag_walk_blind", "dag_walk")]
+
+
+def _method_slots(rec: Record) -> DataFrame:
+    """run, query_id, slot_recall, chain_recall, last_hop of all methods, and of an oracle that returns a card of each slot; stored."""
+    if not hasattr(rec, "method_slots"):
+        parts = [make(rec).select(F.lit(name).alias("run"), "query_id", "card_id", "rank") for name, make in METHODS.items()]
+        best = rec.labels.groupBy("query_id", "slot").agg(F.min("card_id").alias("card_id"))
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy("slot")).cast("long")
+        parts.append(best.select(F.lit("oracle").alias("run"), "query_id", "card_id", nth.alias("rank")))
+        rec.method_slots = written(metrics.slots(written(reduce(DataFrame.unionByName, parts), "methods"), rec.labels, 10), "method-slots")
+    return rec.method_slots
+
+
+def walk_methods(rec: Record) -> DataFrame:
+    """Slot and chain recall of every method, with the oracle's row, which must be 1; and the share of contrast
+    pairs of which both are answered in full."""
+    s = _method_slots(rec)
+    pair = s.join(rec.pairs, "query_id").groupBy("run", "pair_id").agg(F.count(F.lit(1)).alias("k"), F.min("chain_recall").alias("both")).where("k = 2")
+    pair = pair.groupBy("run").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("both"), 6).alias("both_right"))
+    out = s.groupBy("run").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("slot_recall", "chain_recall", "last_hop")])
+    return out.join(pair, "run", "left")
+
+
+def walk_comparisons(rec: Record) -> DataFrame:
+    """Paired differences of chain recall with intervals, discordant pairs and verdicts, over all queries and by whether the
+    citation walk could reach the answer; the blind pairs are the time ablation."""
+    s = _method_slots(rec)
+    reach = written(walkers.dag_walk(rec, k=1_000_000).join(rec.labels.select("query_id", "card_id"), ["query_id", "card_id"], "left_semi").select("query_id").distinct(), "reach")
+    strata = rec.labels.select("query_id").distinct().join(reach.withColumn("r", F.lit(True)), "query_id", "left")
+    strata = strata.select("query_id", F.explode(F.array(F.lit("all"), F.when(F.col("r"), "reachable").otherwise("entity_only"))).alias("stratum"))
+    parts = []
+    for a, b in TESTED:
+        side = lambda run, c: s.where(F.col("run") == run).select("query_id", F.col("chain_recall").alias(c))
+        parts.append(side(a, "va").join(side(b, "vb"), "query_id").join(strata, "query_id").select(F.concat_ws(":", F.lit(a), F.lit(b), "stratum").alias("label"), "query_id", "va", "vb"))
+    rows = written(reduce(DataFrame.unionByName, parts), "pairs")
+    ci = stats.bootstrap(rows.select("label", "query_id", (F.col("vb") - F.col("va")).alias("delta")))
+    mc = stats.mcnemar(rows.select("label", (F.col("va") > 0).alias("right_a"), (F.col("vb") > 0).alias("right_b")))
+    return ci.join(mc, "label").select("*", stats.verdict(F.col("lo"), F.col("hi")).alias("verdict"))
+
+
+NAMES = [walk_comparisons, walk_methods, scorer_dag_walk, scorer_dag_walk_blind, scorer_onto_llm_walk, scorer_onto_walk, scorer_onto_walk_blind]
 QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Record(spark, sf_dir))) for f in NAMES}
 
 COMMON = """

@@ -7,7 +7,7 @@ card is kept in frames named ``true_*``, which the guards keep away from retriev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import draw
@@ -84,3 +84,73 @@ def paraphrased(terms: Column, key: Column, seed: int) -> Column:
         return F.when(u < 0.62, t).when(u < 0.86, short).otherwise(F.substring(F.reverse(t), 1, 6))
 
     return F.array_join(F.transform(terms, said), " ")
+
+
+# ---- planted entities ------------------------------------------------------------------
+
+#: Classes of the entities of a topic, in turn, with their parents; and the endings of dataset names.
+PLANTED_KINDS = [("KernelMethod", "Method"), ("SamplingMethod", "Method"), ("Benchmark", "Dataset"), ("Corpus", "Dataset")]
+ENDINGS = {"Benchmark": "-QA", "Corpus": "-Text"}
+
+
+def true_entities(spark: SparkSession, n_topics: int, seed: int = 20260909) -> DataFrame:
+    """entity_id, name, kind, parent_kind, topic: two methods and two datasets for every topic, with invented names."""
+    e = spark.range(n_topics * len(PLANTED_KINDS)).select(F.col("id").alias("n"), F.floor(F.col("id") / len(PLANTED_KINDS)).alias("topic"))
+    pick = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in PLANTED_KINDS]), (F.col("n") % len(PLANTED_KINDS) + 1).cast("int"))
+    e = e.select("*", pick(0).alias("kind"), pick(1).alias("parent_kind"))
+    number = (F.col("n") + 11).cast("string")
+    ending = F.when(F.col("parent_kind") == "Method", F.concat(F.lit("-"), number)).when(F.col("kind") == "Benchmark", ENDINGS["Benchmark"]).otherwise(ENDINGS["Corpus"])
+    # a topic's number among the syllables keeps names apart
+    return e.select(F.concat(F.lit("t"), F.col("n").cast("string")).alias("entity_id"), F.concat(F.initcap(word(F.col("n") * 7 + seed % 500)), ending).alias("name"), "kind", "parent_kind", "topic")
+
+
+def true_mentions(corpus: DataFrame, entities: DataFrame, share: float = 0.6, seed: int = 20260909) -> DataFrame:
+    """card_id, entity_id, surface, role: a share of the cards speak of one method and one dataset of their topic.
+
+    The first card that speaks of an entity introduces it, later ones use, study or only
+    mention it; every third writes a method's name with a blank.
+    """
+    key = lambda *p: (F.lit(str(seed)), F.col("card_id").cast("string"), *map(F.lit, p))
+    speak = corpus.where(unit(*key("speaks")) < share).select("card_id", "topic", (draw(*key("which")) % 2).alias("m"), (draw(*key("data")) % 2).alias("d"))
+    turn = F.row_number().over(Window.partitionBy("topic", "parent_kind").orderBy("entity_id")) - 1
+    e = entities.withColumn("turn", turn)
+    both = speak.join(e, "topic").where(F.when(F.col("parent_kind") == "Method", F.col("turn") == F.col("m")).otherwise(F.col("turn") == F.col("d")))
+    first = both.groupBy("entity_id").agg(F.min("card_id").alias("first"))
+    u = unit(*key("role"))
+    role = F.when(F.col("card_id") == F.col("first"), "introduces").when(u < 0.5, "uses").when(u < 0.7, "studies").otherwise("mentions")
+    surface = F.when((F.col("parent_kind") == "Method") & (F.col("card_id") % 3 == 0), F.replace("name", F.lit("-"), F.lit(" "))).otherwise(F.col("name"))
+    return both.join(first, "entity_id").select("card_id", "entity_id", surface.alias("surface"), role.alias("role"))
+
+
+def true_facts(mentions: DataFrame, entities: DataFrame, seed: int = 20260909) -> DataFrame:
+    """card_id, subj, rel, obj, value: a card's method is evaluated on its dataset, and half of such cards report a value."""
+    named = mentions.join(entities.select("entity_id", "parent_kind"), "entity_id")
+    m = named.where("parent_kind = 'Method'").select("card_id", F.col("entity_id").alias("subj"))
+    d = named.where("parent_kind = 'Dataset'").select("card_id", F.col("entity_id").alias("obj"))
+    pairs = m.join(d, "card_id")
+    k = draw(F.lit(str(seed)), F.col("card_id").cast("string"), F.lit("value"))
+    reports = pairs.where(k % 2 == 0).select("card_id", "subj", F.lit("reports").alias("rel"), "obj", F.format_string("0.%02d", 40 + k % 55).alias("value"))
+    return pairs.select("card_id", "subj", F.lit("evaluated_on").alias("rel"), "obj", F.lit(None).cast("string").alias("value")).unionByName(reports)
+
+
+#: How a role is said; other wordings of the same cues.
+SAID = {"introduces": ["we introduce", "this note presents"], "uses": ["we adopt", "the work relies on"], "studies": ["we study", "samples of"], "mentions": ["compared with", "next to"]}
+
+
+def spoken(corpus: DataFrame, mentions: DataFrame, facts: DataFrame) -> DataFrame:
+    """``corpus`` with the sentences of its mentions and reported values behind its text."""
+    said = F.element_at(F.create_map(*[x for r, ways in SAID.items() for x in (F.lit(r), F.array(*map(F.lit, ways)))]), F.col("role"))
+    way = F.element_at(said, (F.col("card_id") % 2 + 1).cast("int"))
+    told = mentions.groupBy("card_id").agg(F.sort_array(F.collect_list(F.concat_ws(" ", way, "surface"))).alias("s"))
+    values = facts.where("rel = 'reports'").select("card_id", "subj", "value").join(mentions.select("card_id", F.col("entity_id").alias("subj"), "surface"), ["card_id", "subj"])
+    values = values.select("card_id", F.concat_ws(" ", "surface", F.lit("reaches"), "value", F.lit("depth-score")).alias("v"))
+    out = corpus.join(told, "card_id", "left").join(values, "card_id", "left")
+    return out.withColumn("txt", F.concat_ws(" . ", "txt", F.array_join("s", " . "), "v")).drop("s", "v")
+
+
+def planted_no_answer(spark: SparkSession, corpus: DataFrame, n: int, topic: int, seed: int = 20260909) -> DataFrame:
+    """query_id, qtext, as_of, intent: needs in the terms of a topic that no card has, asked at the end of the record."""
+    end = corpus.agg(F.max("committed_at").alias("as_of"))
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(4) + (F.col("id") % 4).cast("int")), lambda k: F.lit(topic) * (TOPIC_TERMS - SHARED_TERMS) + SHARED_TERMS + draw(F.lit(str(seed)), F.col("id").cast("string"), k.cast("string")) % (TOPIC_TERMS - 2 * SHARED_TERMS))
+    q = spark.range(n).select((-F.col("id") - 1).alias("query_id"), paraphrased(F.transform(numbers, word), F.col("id"), seed).alias("qtext"))
+    return q.crossJoin(end).withColumn("intent", F.lit("current"))  # one row

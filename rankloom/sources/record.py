@@ -36,6 +36,7 @@ class Record:
         "texts": ("card_id", "txt"),
         "queries": ("query_id", "qtext", "as_of", "intent"),
         "labels": ("query_id", "card_id", "grade", "slot"),
+        "pairs": ("query_id", "pair_id"),
         "vectors": ("card_id", "embedding"),
         "query_vectors": ("query_id", "qv"),
         "text_edges": ("src", "dst", "kind", "valid_from"),
@@ -61,6 +62,7 @@ class Record:
         query = dict(frames["queries"].dtypes)["query_id"] if "queries" in frames else "bigint"
         empty = {
             "labels": f"query_id {query}, card_id {card}, grade double, slot bigint",
+            "pairs": f"query_id {query}, pair_id {query}",
             "vectors": f"card_id {card}, embedding array<float>",
             "query_vectors": f"query_id {query}, qv array<float>",
             "text_edges": f"src {card}, dst {card}, kind string, valid_from timestamp_ntz",
@@ -117,6 +119,11 @@ class Record:
         nth = Window.partitionBy("query_id").orderBy("card_id")
         return written(found.select("query_id", "card_id", F.lit(2.0).alias("grade"), (F.row_number().over(nth) % 3).cast("long").alias("slot")), "labels")
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """query_id, pair_id: queries that make up a contrast; here two neighbouring items."""
+        return self.queries.select("query_id", F.floor(F.col("query_id") / 2).alias("pair_id"))
+
     # ---- lexical and dense scores ----------------------------------------------------
 
     @cached_property

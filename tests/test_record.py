@@ -97,3 +97,11 @@ def test_a_source_without_rows_is_emptied(spark):
     sinks.replace_source(rows.where("source = 'a'").withColumn("id", F.lit(7)), path, ["a"])
     sinks.replace_source(rows.where("false"), path, ["b"])
     assert [(r.id, r.source) for r in spark.read.parquet(path).collect()] == [(7, "a")]
+
+
+def test_the_oracle_row_of_the_method_table_is_one(record):
+    from rankloom.plans import walks
+
+    rows = {r.run: r for r in walks.walk_methods(record).collect()}
+    assert set(rows) == {*walks.METHODS, "oracle"} and rows["oracle"].slot_recall == rows["oracle"].chain_recall == 1.0
+    assert all(r.n == 2 for r in rows.values())
