@@ -85,15 +85,16 @@ _differing: set[str] = set()
 
 
 def _odd(text: str) -> bool:
-    """Whether the text has a character that the library treats in another way; each character is compared once."""
-    new = set(text) - _compared
+    """Whether the text has a character that the library treats in another way; each character beyond ASCII and Latin-1 letters is compared once."""
+    chars = set(_OTHER.findall(text))
+    new = chars - _compared
     if new:
         for c in new:
             sample = f"a{c}1{c}{c}!"
             if unicodedata.category(c) == "Cn" or _library_split(sample) != _ANY.findall(_normal(sample)):
                 _differing.add(c)
         _compared.update(new)
-    return not _differing.isdisjoint(text)
+    return not _differing.isdisjoint(chars)
 
 
 def stretches(text: str, size: int) -> Iterator[str]:
