@@ -190,14 +190,14 @@ def counts(docs: DataFrame, word_path: str, byte_path: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(3).to_pylist()
-        _, words = library_encoder(word_path).encode(texts, None)
+        _, words = library_encoder(word_path).encode(batch.column(3), None)
         encode = byte_encoder(byte_path).encode_ordinary
         plain = [len(encode(t)) if t else 0 for t in texts]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), pa.array(words, pa.int64()), pa.array(plain, pa.int64())], names=names)
 
     names = ["doc_id", "source", "lang", "copy_of", "word_tokens", "byte_tokens"]
     rows = docs.select("doc_id", "source", "lang", "text", F.md5(F.coalesce("text", F.lit(""))).alias("copy_of"))
-    return written(mapped(rows, per_batch(run, 64), f"doc_id {dict(docs.dtypes)['doc_id']}, source string, lang string, copy_of string, word_tokens long, byte_tokens long"), "token-counts")
+    return written(mapped(rows, per_batch(run, 256), f"doc_id {dict(docs.dtypes)['doc_id']}, source string, lang string, copy_of string, word_tokens long, byte_tokens long"), "token-counts")
 
 
 def with_copies(rows: DataFrame, hot: int = HOT) -> DataFrame:

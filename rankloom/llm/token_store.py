@@ -30,13 +30,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.storage import new_path, remove
 from rankloom.llm.textops import mapped, per_batch, sole_memo
-from rankloom.llm.wordbpe import pre_tokens, vocabulary
+from rankloom.llm.wordbpe import BREAK, OTHER, pre_tokens, split_words, vocabulary
 
 #: Ids between two checkpoints of a block.
 CHECKPOINT = 256
@@ -78,11 +79,9 @@ class LibraryEncoder:
 
     def clear(self) -> None:
         self.index = _Places()
-        special = self.vocabulary.special
-        for t in special:
-            self.index[t] = len(self.index)
-        self.flat = np.fromiter(special.values(), dtype=np.uint32, count=len(special))
-        self.starts = np.arange(len(special) + 1, dtype=np.int64)
+        self.index[BREAK] = 0
+        self.flat = np.empty(0, dtype=np.uint32)
+        self.starts = np.zeros(2, dtype=np.int64)
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
@@ -94,32 +93,68 @@ class LibraryEncoder:
         self.starts = np.concatenate([self.starts, len(self.flat) + ends])
         self.flat = np.concatenate([self.flat, ids])
 
-    def encode(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of ids of each text."""
         sole_memo(self, self.clear)
         if len(self.index) > MEMO_WORDS or len(self.flat) > 16 * MEMO_WORDS:
             self.clear()
-        pieces: list[list[str]] = []
-        for text in texts:
-            words: list[str] = []
-            for part, special in self.vocabulary.segments(text or ""):
-                words += [part] if special else pre_tokens(part)
-            pieces.append(words)
-        counts = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=int(counts.sum()))
-        if self.index.new:
-            self._learn()
-        starts = self.starts[at]
-        lengths = self.starts[at + 1] - starts
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        doc_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
-        per_doc = np.diff(doc_ends, prepend=0)
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        v = self.vocabulary
+        if v.special and pc.any(pc.match_substring(texts, v.start)).as_py():
+            cut = [v.segments(t or "") or [("", False)] for t in texts.to_pylist()]
+            parts = list(chain.from_iterable(cut))
+            marks = np.array([special for _, special in parts])
+            ids, ends = self._plain(pa.array([None if special else part for part, special in parts], texts.type))
+            ids = np.insert(ids, ends[marks], np.array([v.special[part] for part, special in parts if special], dtype=np.uint32))
+            ends = (ends + np.cumsum(marks))[np.cumsum([len(c) for c in cut]) - 1]
+        else:
+            ids, ends = self._plain(texts)
+        per_doc = np.diff(ends, prepend=0)
         if end_id is not None:
-            ids = np.insert(ids, doc_ends, np.uint32(end_id))
+            ids = np.insert(ids, ends, np.uint32(end_id))
             per_doc = per_doc + 1
         return ids, per_doc
 
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without control strings, and the number of ids up to the end of each text.
+
+        Each distinct word of the batch is split once. Splitting into pre-tokens, lower case and
+        normal form do not look across ASCII white space, so a word gives the same ids wherever it stands.
+        """
+        texts = pc.fill_null(texts, "")
+        # letters beyond ASCII take their normal form before they become lower case
+        split = pc.ascii_split_whitespace(pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        kind = np.where(pc.string_is_ascii(words), 0, np.where(pc.match_substring_regex(words, OTHER), 2, 1))
+        tokens: list[str] = []
+        for pattern in (0, 1):
+            some = words.filter(pa.array(kind == pattern))
+            if len(some):
+                tokens += split_words(pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), BREAK)[0].as_py() + BREAK)
+        for word in words.filter(pa.array(kind == 2)).to_pylist():
+            tokens += pre_tokens(word)
+            tokens.append(BREAK)
+        at = np.fromiter(map(self.index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if self.index.new:
+            self._learn()
+        ids, ends = _gathered(self.flat, self.starts[at], self.starts[at + 1])
+        # words stand in ``tokens`` by kind
+        word_ends = ends[at == 0]
+        place = np.empty(len(kind), dtype=np.int64)
+        place[np.argsort(kind, kind="stable")] = np.arange(len(kind))
+        used = place[coded.indices.to_numpy()]
+        ids, ends = _gathered(ids, np.concatenate([[0], word_ends])[used], word_ends[used])
+        return ids, np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy())]
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values`` one after the other, and where each ends."""
+    lengths = stops - starts
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+
 
 @cache
 def library_encoder(path: str) -> LibraryEncoder:
@@ -232,14 +267,12 @@ def _tokenised(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], I
         type_ = None
         for batch in batches:
             type_ = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, per_doc = library_encoder(path).encode(part.column(1).to_pylist(), end_id)
-                n += np.bincount(ids, minlength=len(n))
-                raw = ids.astype(kind_of_id).tobytes()
-                ends = np.cumsum(per_doc) * kind_of_id.itemsize
-                cut = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cut, pa.binary()), pa.nulls(len(cut), pa.binary())], names=["doc_id", "ids", "counts"])
+            ids, per_doc = library_encoder(path).encode(batch.column(1), end_id)
+            n += np.bincount(ids, minlength=len(n))
+            raw = ids.astype(kind_of_id).tobytes()
+            ends = np.cumsum(per_doc) * kind_of_id.itemsize
+            cut = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary()), pa.nulls(len(cut), pa.binary())], names=["doc_id", "ids", "counts"])
         if type_ is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, type_), pa.nulls(1, pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["doc_id", "ids", "counts"])
 

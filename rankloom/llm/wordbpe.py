@@ -23,7 +23,13 @@ WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # no two alternatives but the last start alike, so the commonest may come first
 _ASCII = re.compile(rf"[a-z]+|[0-9]|{CONTRACTIONS}|[^\sa-z0-9]+", re.ASCII)
 _LATIN = re.compile(rf"[a-zß-öø-ÿ]+|[0-9]|{CONTRACTIONS}|[^\sa-zß-öø-ÿ0-9]+", re.ASCII)
-_OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+#: Characters beyond ASCII and the letters of Latin-1.
+OTHER = r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]"
+_OTHER = re.compile(OTHER)
+#: Parts words in ``split_words``; no pre-token has white space.
+BREAK = "\n"
+_ASCII_WORDS = re.compile(rf"{_ASCII.pattern}|{BREAK}", re.ASCII)
+_LATIN_WORDS = re.compile(rf"{_LATIN.pattern}|{BREAK}", re.ASCII)
 _BLANK = re.compile("[ \n]")
 _ANY = regex.compile(rf"\p{{L}}+|\p{{N}}|{CONTRACTIONS}|[^{WHITE}\p{{L}}\p{{N}}]+")
 
@@ -48,6 +54,11 @@ def pre_tokens(text: str) -> list[str]:
     return pattern.findall(normal) if pattern else _library_split(text)
 
 
+def split_words(text: str) -> list[str]:
+    """Pre-tokens of words without OTHER characters, parted by BREAK, with the breaks between them."""
+    return (_ASCII_WORDS if text.isascii() else _LATIN_WORDS).findall(text.lower())
+
+
 def each_pre_token(text: str) -> Iterator[str]:
     """``pre_tokens`` one at a time."""
     pattern, normal = _split_by(text)
@@ -132,11 +143,11 @@ class Vocabulary:
         self.size = max(self.tokens) + 1
         strings = sorted(self.special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
-        self._start = os.path.commonprefix(strings)
+        self.start = os.path.commonprefix(strings)
 
     def segments(self, text: str) -> list[tuple[str, bool]]:
         """The text cut at control strings: (part, whether it is one)."""
-        if self._special is None or self._start not in text:
+        if self._special is None or self.start not in text:
             return [(text, False)]
         return [(part, i % 2 == 1) for i, part in enumerate(self._special.split(text)) if part]
 

@@ -205,6 +205,20 @@ def test_store_round_trip(spark, awkward, sf_dir):
         assert all(back[d if k else None] == ids for (k, d), ids in order)
 
 
+def test_encoder_equals_library_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(TOKENIZER), token_store.library_encoder(TOKENIZER)
+    rng = np.random.default_rng(5)
+    bits = [*map(chr, range(128)), "\x85", "\xa0", "\u3000", "\u2028", "\u0308", "e\u0301", "É", "Σ", "ΟΔΟΣ", "İ", "ß", "中文", "٣", "🎉", "it's", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "Word", "  ", "\n"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 40))) for _ in range(3000)]
+    texts += [None, "", " ", "<|endoftext|>", "<|endoftext|><|startoftext|>", "a<|endoftext|>b", "".join(map(chr, range(128))), "x" * 100_000, "é" * 50_000 + " \u0308a"]
+    for some in (texts, [t for t in texts if "<|" not in (t or "")], [None], [""], []):
+        ids, per_doc = encoder.encode(some, 1)
+        want = [library.encode(t or "", add_special_tokens=False).ids + [1] for t in some]
+        assert ids.tolist() == [i for w in want for i in w] and per_doc.tolist() == list(map(len, want))
+
+
 def test_empty_store(spark, nothing):
     folder = new_path(spark, "store")
     token_store.write_store(nothing, folder, TOKENIZER)
