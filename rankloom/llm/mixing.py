@@ -72,10 +72,11 @@ def source_cuts(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_ep
 
     ``docs`` has doc_id, source and size and should be stored, as it is read twice. A
     document is taken ``whole`` times, and once more if its (h, size) is not above ``cut``.
-    With ``part`` only ``fit`` of the rows whose key is ``cut`` are.
+    With ``part`` only ``fit`` of the rows whose key is ``cut`` are. The sums of the buckets
+    and the bucket of each source are stored: inside one plan they would be planned for each use.
     """
     docs = docs.select("source", "size", hash_key(F.col("doc_id"), seed).alias("h")).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
-    cells = docs.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size"))
+    cells = written(docs.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size")), "mix-cells")
     targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, budget, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("whole", epochs).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -85,7 +86,7 @@ def source_cuts(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_ep
     based = based.join(t, F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.*", "t.source_size", "t.target", "t.whole", "t.need")
     ends = based.where((F.col("base") >= F.col("need")) | (F.col("base") + F.col("cell_size") > F.col("need")))
     edge = ends.groupBy("source", "source_size", "target", "whole", "need").agg(F.min(F.struct("bucket", "base")).alias("edge"))
-    edge = edge.select("source", "source_size", "target", "whole", "need", "edge.bucket", "edge.base").alias("e")
+    edge = written(edge.select("source", "source_size", "target", "whole", "need", "edge.bucket", "edge.base"), "mix-edge").alias("e")
     d = docs.alias("d")
     inside = d.join(edge, (F.col("d.bucket") == F.col("e.bucket")) & F.col("d.source").eqNullSafe(F.col("e.source"))).select("d.source", "d.size", "d.h", "e.base", "e.need")
     keys = inside.groupBy("source", "h", "size", "base", "need").agg(F.count(F.lit(1)).alias("copies"))

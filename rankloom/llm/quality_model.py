@@ -6,7 +6,7 @@ document is the mean of its words and pairs. A softmax layer gives the class. Al
 trained by stochastic gradient descent in numpy on a bounded sample of labelled documents:
 at most ``per_class`` documents for each label, in the order of a seeded hash, whole
 texts. Training rows are those whose crc32(doc_id as text) mod 4 is not 2; the rest is
-held out.
+held out. One task on an executor trains; the driver gets the weights and no texts.
 
 After training the two layers fold into one number per feature, so scoring is a table
 look-up per distinct word and per pair, and a mean per document: no shuffle, and beside
@@ -23,6 +23,7 @@ rows; other columns are ignored (``keep_good`` returns them as they are).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -202,14 +203,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **opti
     clean = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     clean = clean.where(~held_out()).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(SEED)), F.col("doc_id").cast("string"))))
     chosen = [clean.where((F.col("quality") > 0) == good).orderBy("h", "doc_id").limit(per_class) for good in (False, True)]
-    # at most 2 * per_class narrow rows are broadcast, and as many documents are gathered
+    # at most 2 * per_class narrow rows are broadcast, and as many documents are gathered in one task
     picked = F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "quality", "h"))
     # one text of each doc_id, chosen before anything is gathered
     one = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("h").alias("h"))
-    rows = one.toPandas().sort_values(["h", "doc_id"])
-    if not len(rows):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            rows = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("doc_id", "ascending")])
+            weights, bias = fit(rows["text"].to_pylist(), [int(q > 0) for q in rows["quality"].to_pylist()], **options).packed()
+            yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
+
+    made = mapped(one.coalesce(1), run, "weights binary, bias double").collect()
+    if not made:
         return Model(np.zeros(BUCKETS + (1 << PAIR_BITS)), 0.0)
-    return fit(rows["text"].tolist(), [int(q > 0) for q in rows["quality"]], **options)
+    return Model(np.frombuffer(made[0]["weights"], np.float32), made[0]["bias"])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -159,9 +159,13 @@ def quantiles(cells: DataFrame, levels: dict[str, int]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, spread: int = SPREAD, prior: int = PRIOR) -> DataFrame:
-    """lang, source and a low and high cutoff for each metric: one row per group of the sketch."""
+    """lang, source and a low and high cutoff for each metric: one row per group of the sketch.
+
+    ``sketch`` is read several times and should be stored; the languages' is stored here, so
+    that no plan holds the same steps again and again, which costs the driver memory.
+    """
     every = merged(sketch, [])
-    lang = blended(merged(sketch, ["lang"]), every, [], prior)
+    lang = written(blended(merged(sketch, ["lang"]), every, [], prior), "rules-lang")
     own = blended(merged(sketch, ["lang", "source"]), lang, ["lang"], prior)
     o = quantiles(own, {"q25": 25, "q50": 50, "q75": 75, "q99": 99}).alias("o")
     skew = quantiles(lang, {"q50": 50}).select("lang", "metric", F.abs(F.col("mean") - F.col("q50")).alias("skew")).alias("l")
@@ -185,17 +189,22 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("inside"))
 
 
+def measured_limits(measured: DataFrame, **options) -> DataFrame:
+    """The thresholds of stored ``measured``, stored like the sketch that they come from."""
+    return written(thresholds(written(sketches(measured), "rules-sketch"), **options), "rules-limits")
+
+
 def apply_rules(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, lang, source, COUNTS, metrics, base_failed, kept."""
     measured = written(with_counts(docs).select("*", *metric_columns()), "rules-counts")
-    limits = written(thresholds(sketches(measured), **options), "rules-limits")
+    limits = measured_limits(measured, **options)
     return judged(measured, limits)
 
 
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns; texts are not shuffled unless the thresholds outgrow a broadcast."""
     measured = written(with_counts(docs).select("*", *metric_columns()), "rules-counts")
-    limits = written(thresholds(sketches(measured), **options), "rules-limits")
+    limits = measured_limits(measured, **options)
     columns = [c for c in docs.columns]
     packed = docs.select("lang", "source", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     schema = f"lang string, source string, row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS)
