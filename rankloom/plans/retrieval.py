@@ -63,7 +63,7 @@ def version_cited_asof(rec: Record) -> DataFrame:
     """Each card cites its line's first chain; the version it means is the latest by then."""
     roots = asof.version_roots(rec.versions)
     v = rec.versions.join(roots, "card_id")
-    first = v.groupBy("line").agg(F.min("root").alias("root"))
+    first = small(v.groupBy("line").agg(F.min("root").alias("root")))
     cites = v.select(F.col("card_id").alias("src"), "line", F.col("committed_at").alias("at")).join(first, "line").select("src", "root", "at")
     return asof.cited_as_of(cites, v).select("src", "root", "dst")
 
@@ -91,11 +91,9 @@ def first_stage(rec: Record) -> DataFrame:
 def _expanded(rec: Record, first: DataFrame) -> DataFrame:
     """First stage for each query with its feedback terms added."""
     seen = first.where(F.col("rank") <= 5).select("card_id").distinct()
-    own = written(lexical.postings(rec.toks.join(seen, "card_id", "left_semi")), "feedback")
-    # the postings of all words that may be added, and of the queries' own, serve both steps
-    posts = rec.postings_of(own.select("term").union(rec.terms.select("term")).distinct())
-    extra = lexical.feedback_terms(first, own, lexical.inverse_frequencies(posts, rec.stats), rec.terms)
-    lex = rec.bm25_of(rec.terms.unionByName(extra), posts, pool=True).where("score > 0")
+    own = written(lexical.postings(lexical.tokenised(rec.texts.join(seen, "card_id", "left_semi"))), "feedback")
+    extra = written(lexical.feedback_terms(first, own, rec.idf_of(own), rec.terms), "extra")
+    lex = rec.bm25_best(rec.terms.unionByName(extra), 150, pool=True)
     return ranking.ranked(ranking.fused([ranking.top(lex, 150), rec.dense_top(150, pool=True)]))
 
 
@@ -255,8 +253,7 @@ def scale_curve(rec: Record) -> DataFrame:
     out = []
     for share in (25, 50, 100):
         keep = asof.scale_subset(rec.versions, rec.labels, total * share // 100, 11)
-        seen = asof.masked(rec.bm25.where("score > 0").join(keep, "card_id", "left_semi"), rec.queries, rec.versions)
-        r = ranking.top(seen.select("query_id", "card_id", "score"), K).withColumn("run", F.lit("bm25"))
+        r = ranking.top(rec.bm25_best(rec.terms, K, among=keep), K).withColumn("run", F.lit("bm25"))
         m = metrics.reciprocal_rank(r, rec.labels)
         out.append(m.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mrr"), 6).alias("mrr")).select(F.lit(share).cast("long").alias("share"), "n", "mrr"))
     return reduce(DataFrame.unionByName, out)
