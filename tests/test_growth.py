@@ -1,8 +1,9 @@
 """Steps whose work must grow no faster than the input."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import lexical
+from rankloom.operators import asof, lexical
 from rankloom.sources.record import Record
 
 ODD = [(1, "Kelvin Kelvin wind. Wind"), (2, None), (3, ""), (4, "windñwind 2İx i"), (5, "the long wind blows"), (5, "a wind"), (6, "wiß nd blo"), (7, "no such word")]
@@ -38,3 +39,14 @@ def test_texts_that_contain_a_query_are_found_by_a_word(spark):
     queries = spark.createDataFrame([(1, "wind"), (2, "lvin wi"), (3, "long wind"), (4, "he long wind b"), (5, ""), (6, None), (7, "Kelvin Kelvin w"), (8, "ß nd b"), (9, "Long wind")], "query_id long, qtext string")
     want = cards.join(queries, F.contains("txt", "qtext")).select("query_id", "card_id")
     assert _rows(lexical.containing(cards, queries.collect())) == _rows(want)
+
+
+@pytest.mark.parametrize("copies", [1, 400])
+def test_citations_of_one_root_meet_a_version_each(spark, copies):
+    day = lambda c: F.expr(f"timestampadd(DAY, {c}, timestamp_ntz'2025-01-01 00:00:00')")
+    versions = spark.range(1, copies + 1).select(F.lit(7).cast("long").alias("root"), F.col("id").alias("card_id"), day("cast(id as int) * 10").alias("committed_at"))
+    cites = spark.range(copies * 10).select(F.col("id").alias("src"), F.lit(7).cast("long").alias("root"), day("cast(id as int) + 5").alias("at"))
+    out = asof.cited_as_of(cites, versions)
+    assert _rows(out.select("src", "dst")) == sorted(((s, min((s + 5) // 10, copies)) for s in range(copies * 10) if s + 5 >= 10), key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "part#" in plan  # joined by root and range of dates, not by root
