@@ -50,3 +50,14 @@ def test_citations_of_one_root_meet_a_version_each(spark, copies):
     assert _rows(out.select("src", "dst")) == sorted(((s, min((s + 5) // 10, copies)) for s in range(copies * 10) if s + 5 >= 10), key=str)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "part#" in plan  # joined by root and range of dates, not by root
+
+
+def test_a_seeded_part_is_not_put_in_order_as_a_whole(spark):
+    cards = spark.range(3000).withColumnRenamed("id", "card_id")
+    needles = spark.createDataFrame([(i,) for i in (5, 6)], "card_id long")
+    h = {r.card_id: r.h for r in cards.withColumn("h", asof.draw(F.col("card_id").cast("string"), F.lit("11"))).collect()}
+    for n in (0, 2, 3, 1500, 3000, 4000):
+        rest = sorted((x for x in h if x not in (5, 6)), key=lambda x: (h[x], x))[: max(0, n - 2)]
+        out = asof.scale_subset(cards, needles, n, 11)
+        assert sorted(r.card_id for r in out.collect()) == sorted([5, 6, *rest])
+        assert "limit=1498" not in out._jdf.queryExecution().executedPlan().toString()
