@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import asof, lexical
+from rankloom.operators import asof, graph, lexical
 from rankloom.sources.record import Record
 
 ODD = [(1, "Kelvin Kelvin wind. Wind"), (2, None), (3, ""), (4, "windñwind 2İx i"), (5, "the long wind blows"), (5, "a wind"), (6, "wiß nd blo"), (7, "no such word")]
@@ -61,3 +61,43 @@ def test_a_seeded_part_is_not_put_in_order_as_a_whole(spark):
         out = asof.scale_subset(cards, needles, n, 11)
         assert sorted(r.card_id for r in out.collect()) == sorted([5, 6, *rest])
         assert "limit=1498" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+LINKS = [(1, "ca", "ex"), (1, "cb", "ex"), (1, "cb", "ex"), (1, "cb", "ey"), (1, "ey", "ez"), (1, "cq", "er"), (2, "ca", "ez"), (2, "ca", "ca")]
+
+
+@pytest.mark.parametrize("lone", [False, True])
+def test_a_task_ranks_as_the_joins_do(spark, monkeypatch, lone):
+    links = spark.createDataFrame(LINKS, "query_id long, src string, dst string")
+    seeds = spark.createDataFrame([(1, "ca", 2.0), (1, "cc", 1.0), (2, "ca", 1.0), (3, "ca", 1.0), (4, "cx", 1.0)], "query_id long, card_id string, weight double")
+    views = spark.createDataFrame([(1, 1), (2, 2), (3, 1), (4, 7)], "query_id long, view long")
+    nodes = links.select("query_id", F.col("src").alias("card_id")).union(links.select("query_id", "dst"))
+
+    def both():
+        return _rows(graph.pagerank(None, links, seeds, views=views, only="c", lone=lone)), _rows(graph.pagerank(nodes, links, seeds))
+
+    with monkeypatch.context() as m:
+        m.setattr(graph, "LOCAL_LINKS", 0)
+        want = both()
+    m = monkeypatch
+    m.setattr(graph, "_joined", None)  # no iteration is a join
+    assert both() == want and len(want[0]) == (7 if lone else 5)
+
+
+def test_only_links_within_reach_are_ranked(spark):
+    copies = spark.range(50)
+    mentions = copies.select((F.col("id") * 10).alias("card_id"), F.concat(F.lit("p"), "id").alias("entity_id")).union(copies.select(F.col("id") * 10 + 1, F.concat(F.lit("q"), "id")))
+    facts = copies.select(F.concat(F.lit("p"), "id").alias("subj"), F.concat(F.lit("s"), "id").alias("obj")).union(copies.select(F.concat(F.lit("q"), "id"), F.concat(F.lit("s"), "id")))
+    seeds = spark.createDataFrame([(0, 0), (0, 20)], "query_id long, card_id long")
+    m, f = graph.within_reach(mentions, facts, seeds)
+    assert _rows(m) == [(0, "p0"), (1, "q0"), (20, "p2"), (21, "q2")] and _rows(f) == [("p0", "s0"), ("p2", "s2"), ("q0", "s0"), ("q2", "s2")]
+    m, f = graph.within_reach(mentions, facts, seeds, 2)
+    assert {r.entity_id for r in m.collect()} == {"p0", "p2"} and {r.subj for r in f.collect()} == {"p0", "p2"}
+
+
+def test_queries_of_one_time_share_their_links(spark, sf_dir):
+    from rankloom.operators import walkers
+
+    rec = Record(spark, sf_dir)
+    found = walkers.EntityGraph(rec)
+    assert found.links.select("query_id").distinct().count() <= rec.queries.select("as_of", "intent").distinct().count() < rec.queries.count()
