@@ -101,3 +101,11 @@ def test_queries_of_one_time_share_their_links(spark, sf_dir):
     rec = Record(spark, sf_dir)
     found = walkers.EntityGraph(rec)
     assert found.links.select("query_id").distinct().count() <= rec.queries.select("as_of", "intent").distinct().count() < rec.queries.count()
+
+
+def test_facts_are_found_once_for_all_grades(spark, sf_dir):
+    from rankloom.plans import flows
+
+    out = flows.extraction_grades(Record(spark, sf_dir))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "sentence_no" in x]  # names of a sentence are not paired again for each grade
